@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from tracklight.llm.bpe import op9_bpe
 from tracklight.llm.packing import op1_packing
+from tracklight.llm.quality import op2_quality
+from tracklight.llm.simhash import op6_simhash
+from tracklight.llm.toxicity import op5_toxicity
 
-QUERIES = {"op1_packing": op1_packing, "op9_bpe": op9_bpe}
+QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op5_toxicity": op5_toxicity, "op6_simhash": op6_simhash, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {}
