@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracklight.llm.bpe import op9_bpe
+from tracklight.llm.fingerprints import op4_fingerprints
 from tracklight.llm.htmltext import op8_html
 from tracklight.llm.licenses import op7_licenses
 from tracklight.llm.licenses import oracle as licenses_oracle
@@ -12,5 +13,5 @@ from tracklight.llm.quality import op2_quality
 from tracklight.llm.simhash import op6_simhash
 from tracklight.llm.toxicity import op5_toxicity
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_lines": op3_lines, "op5_toxicity": op5_toxicity, "op6_simhash": op6_simhash, "op7_licenses": op7_licenses, "op8_html": op8_html, "op9_bpe": op9_bpe}
+QUERIES = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_lines": op3_lines, "op4_fingerprints": op4_fingerprints, "op5_toxicity": op5_toxicity, "op6_simhash": op6_simhash, "op7_licenses": op7_licenses, "op8_html": op8_html, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {"op7_licenses": licenses_oracle()}
