@@ -21,7 +21,7 @@ from tracklight.llm.common import prepare, table, texts
 from tracklight.llm.pretokens import byte_level
 
 #: Pre-tokens a worker keeps; beyond that it starts anew.
-CACHE = 250_000
+CACHE = 500_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -127,7 +127,7 @@ class PairIndexBPE:
             self.ids[s], self.back[s] = str(i), s
         known = self.ids.keys()
         cut = [self.pieces(t) for t in batch]
-        self._learn(set().union(*(set(c) - known for c in cut)))
+        self._learn({w for c in cut for w in set(c) if w not in known})
         ids, back = self.ids.__getitem__, self.back.__getitem__
         for c in cut:
             yield ",".join(map(ids, c)), "".join(map(back, c))

@@ -14,7 +14,7 @@ from tracklight.llm.common import materialise, prepare, table, texts
 from tracklight.llm.pretokens import word_level
 
 #: Token sequences a worker keeps per pre-token; beyond that it starts anew.
-CACHE = 300_000
+CACHE = 500_000
 
 
 class WordTokens:
@@ -37,7 +37,7 @@ class WordTokens:
             self.known.clear()
         cut = [word_level(t) for t in batch]
         keys = self.known.keys()
-        new = list(set().union(*(set(c) - keys for c in cut if c is not None)))
+        new = list({w for c in cut if c is not None for w in set(c) if w not in keys})
         self.known.update(zip(new, self._library(new), strict=True))
         get = self.known.__getitem__
         return [(b"".join(map(get, c)) if c is not None else self._library([t])[0]) + self.end for t, c in zip(batch, cut, strict=True)]
