@@ -1,0 +1,145 @@
+"""Vectors worked out by hand for the scalar and byte operators."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracklight.functions import charset, cue, flac
+from tracklight.functions import text as T
+from tracklight.functions import time as tm
+from tracklight.operators import frames as fr
+from tracklight.operators import jobs, matching
+from tracklight.sources import library
+from tracklight.streaming.jobs import job_states
+
+SHEET = """REM GENRE "Synth Pop"
+REM DATE 1999
+REM COMMENT
+PERFORMER "Band"
+TITLE "My  Album"
+FILE "album.flac" WAVE
+  TRACK 01 AUDIO
+    TITLE "One"
+    INDEX 01 00:00:00
+  TRACK 02 AUDIO
+    TITLE "Two"
+    PERFORMER "Guest"
+    INDEX 00 00:01:70
+    INDEX 01 00:02:00
+"""
+
+
+def test_sheet():
+    s = cue.parse_text(SHEET)["sheet"]
+    assert (s["genre"], s["date"], s["title"], s["performer"]) == ("Synth Pop", "1999", "My  Album", "Band")
+    assert s["rem"]["COMMENT"] == ""
+    (f,) = s["files"]
+    assert (f["name"], f["file_type"]) == ("album.flac", "WAVE")
+    assert [(t["number"], t["title"], t["performer"]) for t in f["tracks"]] == [(1, "One", None), (2, "Two", "Guest")]
+
+
+@pytest.mark.parametrize(
+    ("text", "error", "line"),
+    [("", "EmptyInput", None), ("  \n", "EmptyInput", None), ('TITLE "x"', "NoTracks", None), ("FILE", "InvalidSyntax", 1), ("TRACK xx AUDIO", "InvalidSyntax", 1), ("TRACK", "InvalidSyntax", 1), ("TRACK 1 AUDIO\nINDEX 01", "InvalidSyntax", 2), ("TRACK 1 AUDIO\nINDEX aa 00:00:00", "InvalidSyntax", 2), ("TRACK 1 AUDIO\nINDEX 01 00:60:00", "InvalidTime", 2), ("INDEX 01 bad\nTRACK 1 AUDIO", None, None)],
+)
+def test_sheet_errors(text, error, line):
+    p = cue.parse_text(text)
+    assert (p["error"], p["line_number"]) == (error, line)
+
+
+@pytest.mark.parametrize(("line", "name", "kind"), [('FILE "a b.flac"', "a b.flac", "WAVE"), ("FILE a  b.flac MP3", "a b.flac", "MP3"), ('FILE "a.flac WAVE', '"a.flac WAVE', "WAVE")])
+def test_file_line(line, name, kind):
+    f = cue.parse_text(line + "\nTRACK 1 AUDIO")["sheet"]["files"][0]
+    assert (f["name"], f["file_type"]) == (name, kind)
+
+
+@pytest.mark.parametrize(("raw", "sectors", "samples", "ms"), [("00:02:00", 150, 88_200, 2000), ("03:15:37", 14_662, 8_621_256, 195_493), ("999:59:74", 4_499_999, 2_645_999_412, 59_999_986), ("1000:00:00", None, None, None), ("0:0:00", None, None, None), ("00:00:75", None, None, None), ("-1:00:00", None, None, None)])
+def test_time(spark, raw, sectors, samples, ms):
+    t = tm.parse_time(F.lit(raw))
+    n = tm.sectors(t["m"], t["s"], t["f"])
+    assert tuple(spark.range(1).select(n, tm.to_samples(n), tm.to_millis(tm.to_samples(n))).first()) == (sectors, samples, ms)
+
+
+def test_start_index_prefers_one_then_lowest_then_first(spark):
+    ix = lambda *n: F.array(*(F.struct(F.lit(a).alias("number"), F.lit(b).alias("m")) for a, b in n))
+    r = spark.range(1).select(tm.start_index(ix((0, 5), (1, 7)))["m"], tm.start_index(ix((3, 1), (2, 9), (2, 4)))["m"]).first()
+    assert tuple(r) == (7, 9)
+
+
+def test_bytes():
+    assert flac.crc8(b"123456789") == 0xF4 and flac.crc16(b"123456789") == 0xFEE8
+    assert flac.crc8(bytes.fromhex("FFF8C91800")) == 0xC2
+    for n, h in ((0, "00"), (127, "7f"), (128, "c280"), (2047, "dfbf"), (2048, "e0a080"), (65535, "efbfbf"), (65536, "f0908080"), (2**21, "f888808080"), (2**26, "fc8480808080"), (2**31, "fe828080808080"), (2**36 - 1, "febfbfbfbfbfbf")):
+        assert flac.encode_number(n).hex() == h and flac.number_length(bytes.fromhex(h)[0]) == len(h) // 2
+    info = {"sample_rate": 44_100, "channels": 2, "bits_per_sample": 16, "total_samples": 17_640_000, "min_block": 4096, "max_block": 4096, "min_frame": 0, "max_frame": 0}
+    assert flac.build_stream_info(info)[10:18].hex() == "0ac442f0010d2a40"
+    assert flac.stream_info(flac.build_stream_info(info)) == info
+    assert [flac.block_size(c) for c in (1, 2, 5, 8, 12, 15)] == [192, 576, 4608, 256, 4096, 32768]
+
+
+def test_frames_and_damage():
+    body = b"".join(flac.make_frame(100 + i, i, b"\xff\xf8" + bytes([i]) * 20) for i in range(5))
+    info = {"sample_rate": 44_100, "channels": 2, "bits_per_sample": 16, "total_samples": 510, "min_block": 100, "max_block": 104, "min_frame": 0, "max_frame": 0}
+    whole = flac.container(info, ["TITLE=x"], body)
+    assert [f[2] for f in flac.frames(whole)] == [100, 101, 102, 103, 104]
+    for broken in (whole[:-1], whole + b"\1", flac.container(info | {"total_samples": 9}, [], body)):
+        with pytest.raises(ValueError):
+            list(flac.frames(broken))
+    assert flac.metadata(b"nope")["error"] and flac.metadata(whole[:20])["error"]
+
+
+def test_hybrid_plan(spark):
+    f = spark.createDataFrame([(1, i, i * 4096, 4096, i * 10, 10) for i in range(10)], "file_id int, frame_index long, start_sample long, sample_count long, byte_offset long, byte_length long")
+    r = spark.createDataFrame([(1, 588, 17_640), (1, 0, 17_640), (1, 5000, 6000), (1, 4096, 6000), (1, 5000, 8192), (1, 5000, 9000), (1, 36_000, 40_960), (1, 0, 50_000)], "file_id int, lo long, hi long")
+    got = {(x.lo, x.hi): (x.lead_end, x.first_mid, x.n_mid, x.trail_start) for x in fr.hybrid_plan(r, f, "file_id").collect()}
+    assert got == {(588, 17_640): (4096, 1, 3, 16_384), (0, 17_640): (None, 0, 4, 16_384), (5000, 6000): (6000, None, 0, None), (4096, 6000): (6000, None, 0, None), (5000, 8192): (8192, None, 0, None), (5000, 9000): (8192, None, 0, 8192), (36_000, 40_960): (36_864, 9, 1, None)}
+
+
+def test_greedy_file_entries(spark):
+    audio = spark.createDataFrame([(1, "/m/A/a.flac", "a.flac", "/m/A"), (2, "/m/A/b.flac", "b.flac", "/m/A/")], "scan_pos long, path string, file_name string, dir string")
+    cues = spark.createDataFrame([(1, "/m/A/c1.cue", "c1.cue", "/m/A", ["a.flac", "b.flac"]), (2, "/m/A/c2.cue", "c2.cue", "/m/A", ["b.flac"])], "cue_pos long, cue_path string, cue_name string, cue_dir string, files array<string>")
+    none = spark.createDataFrame([], "path string, parse_ok boolean")
+    got = {r.scan_pos: (r.outcome, r.rule, r.cue_positions) for r in matching.match(audio, cues, none).collect()}
+    assert got == {1: ("matched", "CueFileDirective", [1]), 2: ("matched", "CueFileDirective", [2])}
+
+
+@pytest.mark.parametrize(
+    ("template", "track", "title", "want"),
+    [("{track:02d}. {title}", 7, "One", "07. One.flac"), ("{track:02d}. {title}", 123, "One", "123. One.flac"), ("{title}", 1, "AC/DC: live?", "AC_DC_ live_.flac"), ("{title}", 1, "song.FLAC", "song.FLAC"), ("{title}", 1, "CON", "_CON.flac"), ("{title}", 1, "Hit {live}", "Hit.flac"), ("{title}", 1, "By {artist}", "By Z.flac"), ("{title}", 1, "a$1\\b", "a$1_b.flac")],
+)
+def test_file_template(spark, template, track, title, want):
+    v = {k: F.lit(None).cast("string") for k in ("album", "album_artist", "year", "genre", "disc")} | {"track": F.lit(track), "title": F.lit(title), "artist": F.lit("Z")}
+    assert spark.range(1).select(T.render_file(F.lit(template), v)).first()[0] == want
+
+
+def test_charsets():
+    assert charset.probe(b"")[:2] == ("UTF-8", "Fallback")
+    assert charset.probe(b"TITLE x")[:2] == ("UTF-8", "StrictUtf8")
+    assert charset.probe("﻿TITLE".encode())[:2] == ("UTF-8", "Bom")
+    assert charset.probe('TITLE "Привет мир"'.encode())[:2] == ("UTF-8", "Heuristic")
+    assert charset.probe('TITLE "Привет мир"'.encode("cp1251"))[0] == "windows-1251"
+    assert charset.decode(b"\xcf", "windows-1251") == ("windows-1251", "Explicit", "П")
+
+
+@pytest.mark.parametrize(("cancel", "ok", "bad", "want"), [(True, 0, 3, "Cancelled"), (True, 1, 0, "Succeeded"), (False, 1, 1, "PartialSuccess"), (False, 0, 0, "Failed")])
+def test_job_state(spark, cancel, ok, bad, want):
+    assert spark.range(1).select(jobs.state(F.lit(cancel), F.lit(ok), F.lit(bad))).first()[0] == want
+
+
+def test_library_scan(spark, tmp_path):
+    info = {"sample_rate": 44_100, "channels": 2, "bits_per_sample": 16, "total_samples": 0, "min_block": 16, "max_block": 16, "min_frame": 0, "max_frame": 0}
+    for name in ("a/x.FLAC", "a/x.cue", "out/y.flac", ".h/z.flac", "b/t.txt", "b/w.wav"):
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True)
+        p.write_bytes(flac.container(info, ["CueSheet=TRACK 1 AUDIO"]))
+    audio, sheets = library.scan(spark, [str(tmp_path)])
+    assert sorted((r.file_name, r.container) for r in audio.collect()) == [("w.wav", "Wav"), ("x.FLAC", "Flac")]
+    assert [r.file_name for r in sheets.collect()] == ["x.cue"]
+    assert {r.cuesheet for r in library.embedded_sheets(spark, [str(tmp_path / "a")]).collect()} == {"TRACK 1 AUDIO"}
+
+
+def test_job_states_stream(spark, tmp_path):
+    spark.createDataFrame([("j", "done"), ("j", "failed"), ("k", "cancel")], "job_id string, kind string").write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("job_id string, kind string").parquet(str(tmp_path / "in"))
+    q = job_states(s).writeStream.format("memory").queryName("states").outputMode("complete").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {r.job_id: r.state for r in spark.table("states").collect()} == {"j": "PartialSuccess", "k": "Cancelled"}
