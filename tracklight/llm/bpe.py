@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +43,9 @@ class PairIndexBPE:
         back = {c: b for b, c in letters.items()}
         self.first = [vocab[letters[b]] for b in range(256)]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.parts = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.ranks = {a << 17 | b: r for r, (a, b, _) in enumerate(self.parts)}
+        self.byte_ranks = np.array([self.ranks.get(a << 17 | b, -1) for a in self.first for b in self.first])
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
@@ -51,54 +54,53 @@ class PairIndexBPE:
 
     def merge_all(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word."""
-        sym: list[int] = []
-        first, ranks = self.first, self.ranks
-        starts = []
-        for w in words:
-            starts.append(len(sym))
-            sym += [first[b] for b in w]
-            sym.append(-1)  # a border that is part of no pair
-        nxt = list(range(1, len(sym) + 1))
-        prv = list(range(-1, len(sym) - 1))
-        where: dict[int, list[int]] = {}
-        pair_of: dict[int, tuple[int, int, int]] = {}
-        for p, pair in enumerate(zip(sym, sym[1:], strict=False)):
-            if (hit := ranks.get(pair)) is not None:
-                if (at := where.get(hit[0])) is None:
-                    where[hit[0]] = [p]
-                    pair_of[hit[0]] = (*pair, hit[1])
-                else:
-                    at.append(p)
-        active = list(where)
-        heapq.heapify(active)
+        if not words:
+            return []
+        raw = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
+        borders = np.cumsum([len(w) + 1 for w in words]) - 1
+        sym = np.asarray(self.first)[raw]
+        sym[borders] = -1  # part of no pair
+        rank = self.byte_ranks[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        rank[borders[:-1]] = -1
+        rank[borders - 1] = -1
+        at = np.flatnonzero(rank >= 0)
+        at = at[np.argsort(rank[at], kind="stable")]
+        seen, heads = np.unique(rank[at], return_index=True)
+        where: dict[int, list[int]] = dict(zip(seen.tolist(), map(np.ndarray.tolist, np.split(at, heads[1:])), strict=True))
+        sym, active = sym.tolist(), seen.tolist()
+        nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        ranks, parts = self.ranks.get, self.parts
         while active:
-            rank = heapq.heappop(active)
-            if rank not in where:
+            rank_ = heapq.heappop(active)
+            if rank_ not in where:
                 continue
-            a, b, new = pair_of[rank]
-            for p in sorted(where.pop(rank)):
+            a, b, new = parts[rank_]
+            positions = where.pop(rank_)
+            positions.sort()
+            for p in positions:
                 q = nxt[p]
                 if sym[p] != a or sym[q] != b:
                     continue  # another merge took one of the two
                 sym[p], sym[q] = new, -2
-                after = nxt[p] = nxt[q]
+                after, before = nxt[q], prv[p]
+                nxt[p] = after
                 prv[after] = p
-                before = prv[p]
-                for at, pair in ((before, (sym[before], new) if before >= 0 else None), (p, (new, sym[after]))):
-                    if pair and (hit := ranks.get(pair)) is not None:
-                        if (known := where.get(hit[0])) is None:
-                            where[hit[0]] = [at]
-                            pair_of[hit[0]] = (*pair, hit[1])
-                            heapq.heappush(active, hit[0])
+                for place, hit in ((before, ranks(sym[before] << 17 | new)), (p, ranks(new << 17 | sym[after]))):
+                    if hit is not None:
+                        known = where.get(hit)
+                        if known is None:
+                            where[hit] = [place]
+                            heapq.heappush(active, hit)
                         else:
-                            known.append(at)
-        out = []
-        for s in starts:
+                            known.append(place)
+        out, s = [], 0
+        for border in borders.tolist():
             ids = []
-            while sym[s] != -1:
+            while s != border:
                 ids.append(sym[s])
                 s = nxt[s]
             out.append(ids)
+            s = border + 1
         return out
 
     def decode(self, ids: list[int]) -> str:

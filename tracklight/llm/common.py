@@ -46,12 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception as e:  # the session has ended: the folder's owner cleans up
-        print(f"left behind: {path} ({type(e).__name__})")
+    jvm = spark.sparkContext._jvm
+    if jvm is None or spark.sparkContext._jsc is None:
+        return  # the session has ended; the folder's owner cleans up
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
