@@ -28,11 +28,14 @@ def _hash(words: Column) -> Column:
     return F.xxhash64(F.array_join(words, " "))
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """The first place (doc_id, line_no) of each distinct line with a word, and its key (128 bits of its words)."""
+def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, line_no, key (128 bits of the line's words) and halves (half keys, none for short lines) of each line with a
+    word.  Texts go no further than this."""
     normal = F.trim(F.regexp_replace("line", _SPACE, " "))
-    keyed = lines(docs).withColumn("normal", normal).where("normal <> ''").select(F.md5("normal").alias("key"), "doc_id", "line_no")
-    return keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    words = lines(docs).select("doc_id", "line_no", normal.alias("normal")).where("normal <> ''").withColumn("words", F.split("normal", " "))
+    n = F.size("words")
+    halves = F.when(n >= min_words, half_keys(F.col("words"), n)).otherwise(F.array().cast("array<bigint>"))
+    return words.select("doc_id", "line_no", F.unhex(F.md5("normal")).alias("key"), halves.alias("halves"))
 
 
 def half_keys(words: Column, n: Column) -> Column:
@@ -46,27 +49,31 @@ def half_keys(words: Column, n: Column) -> Column:
     return F.array(*of(n), *of(n - 1))
 
 
-def near_pairs(first: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no of distinct lines and the earliest earlier distinct line that shares a deletion variant with it.
+def possible_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """place and words of the distinct lines that share a half with another; no other line can be within one word of one.
+    Their words are cut from the texts of the documents that have any."""
+    halves = first.select("doc_id", "line_no", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
+    able = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("at"))
+    cut = docs.join(able, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("at").alias("line_no"))
+    return cut.select(F.struct("doc_id", "line_no").alias("place"), line_words(F.element_at("all", F.col("line_no") + 1)).alias("words")).dropDuplicates(["place"])
+
+
+def near_pairs(possible: DataFrame, min_words: int) -> DataFrame:
+    """place of lines and the earliest earlier line (other) that shares a deletion variant with each.
 
-    first: doc_id, line_no, line, of distinct lines.  Lines that share no half with another can't be within one word of it and
-    emit nothing.  Replacements meet under the key of the variant and its position, insertions and deletions under the key of
-    the longer line's variant and the shorter line itself; as all lines under one key are alike, its earliest line is all that
-    the others need, so no pairs are made within a key.
+    Replacements meet under the key of the variant and its position, insertions and deletions under the key of the longer
+    line's variant and the shorter line itself; as all lines under one key are alike, its earliest line is all that the others
+    need, so no pairs are made within a key.
     """
-    words = first.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
-    halves = words.select("doc_id", "line_no", F.explode(half_keys(F.col("words"), F.col("n"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    able = halves.join(shared, "half", "left_semi").select("doc_id", "line_no").distinct()
-    some = words.join(able, ["doc_id", "line_no"], "left_semi")
-    place = F.struct("doc_id", "line_no").alias("place")
+    some = possible.withColumn("n", F.size("words"))
 
     def without(i: Column) -> Column:
         return _hash(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.greatest(F.col("n") - i - 1, F.lit(0)))))
 
     variants = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(without(i).alias("h"), i.alias("p")))
     whole = F.array(F.struct(_hash(F.col("words")).alias("h"), F.lit(-1).alias("p")))
-    emitted = materialise(some.select(place, "n", F.explode(F.concat(variants, whole)).alias("v")).select("place", "n", "v.h", "v.p"), "variants")
+    emitted = materialise(some.select("place", "n", F.explode(F.concat(variants, whole)).alias("v")).select("place", "n", "v.h", "v.p"), "variants")
     replaced = emitted.where("p >= 0").groupBy("h", "p", "n").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
     by_place = emitted.join(replaced, ["h", "p", "n"]).where("place <> low").select("place", F.col("low").alias("other"))
     longer = emitted.where(f"p >= 0 and n > {min_words}").select("h", (F.col("n") - 1).alias("n"), "place")
@@ -91,18 +98,17 @@ def within_one(a: Column, b: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """doc_id, line_no of every line that an earlier line (by doc_id, then line number) equals or is within one word of."""
-    doc = texts(docs, None)
-    first = materialise(distinct_lines(doc), "lines")
-    places = first.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    kept_text = lines(doc).join(places, ["doc_id", "line_no"]).select("doc_id", "line_no", "line", "key")
-    near = materialise(near_pairs(kept_text, min_words), "pairs")
-    a, b = kept_text, kept_text.select(F.col("doc_id").alias("o_doc"), F.col("line_no").alias("o_line"), F.col("line").alias("o_text"))
-    pair = near.select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"), F.col("other.doc_id").alias("o_doc"), F.col("other.line_no").alias("o_line"))
-    checked = pair.join(a, ["doc_id", "line_no"]).join(b, ["o_doc", "o_line"]).where(within_one(line_words(F.col("line")), line_words(F.col("o_text")))).select("key", F.lit(True).alias("near"))
-    normal = F.trim(F.regexp_replace("line", _SPACE, " "))
-    every = lines(doc).withColumn("normal", normal).where("normal <> ''").select("doc_id", "line_no", F.md5("normal").alias("key"))
-    judged = every.join(first.join(checked, "key", "left"), "key")
-    return judged.where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no").distinct()
+    doc = texts(docs, None).where("doc_id is not null")
+    keyed = materialise(keyed_lines(doc, min_words), "lines")
+    first = materialise(keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "halves")).alias("f")).select("key", "f.doc_id", "f.line_no", "f.halves"), "first")
+    possible = materialise(possible_lines(doc, first), "possible")
+    pair = near_pairs(possible, min_words)
+    own = possible.select("place", F.col("words").alias("w"))
+    others = possible.select(F.col("place").alias("other"), F.col("words").alias("o"))
+    near = pair.join(own, "place").join(others, "other").where(within_one(F.col("w"), F.col("o"))).select("place.doc_id", "place.line_no", F.lit(True).alias("near"))
+    judged = materialise(first.select("key", "doc_id", "line_no").join(near, ["doc_id", "line_no"], "left").select("key", F.struct("doc_id", "line_no").alias("first"), "near"), "judged")
+    again = keyed.select("key", "doc_id", "line_no").join(judged, "key").where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first")))
+    return again.select("doc_id", "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
