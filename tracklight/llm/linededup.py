@@ -12,51 +12,50 @@ from pyspark.sql import functions as F
 
 from tracklight.llm.common import materialise, table, texts
 
-_SPACE = r"[\x20\x09-\x0D]+"
 
+def clean_lines(text: Column) -> Column:
+    """The lines of a text with runs of white space made one space; lines can keep a space at their ends."""
+    return F.split(F.regexp_replace(text, r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " "), "\n")
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line of every text; a null text has none."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
+def n_words(normal: Column) -> Column:
+    """How many words a line has that is trimmed and has single spaces."""
+    return (F.octet_length(normal) - F.octet_length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).cast("int")
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda w: w != "")
 
-
-def _hash(words: Column) -> Column:
-    return F.xxhash64(F.array_join(words, " "))
+def _first(normal: Column, n: Column) -> Column:
+    return F.call_function("substring_index", normal, F.lit(" "), n)
 
 
 def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, line_no, key (128 bits of the line's words) and halves (half keys, none for short lines) of each line with a
-    word.  Texts go no further than this."""
-    normal = F.trim(F.regexp_replace("line", _SPACE, " "))
-    words = lines(docs).select("doc_id", "line_no", normal.alias("normal")).where("normal <> ''").withColumn("words", F.split("normal", " "))
-    n = F.size("words")
-    halves = F.when(n >= min_words, half_keys(F.col("words"), n)).otherwise(F.array().cast("array<bigint>"))
-    return words.select("doc_id", "line_no", F.unhex(F.md5("normal")).alias("key"), halves.alias("halves"))
+    word.  Texts go no further than this, and runs of white space are sought once for each text."""
+    cut = docs.select("doc_id", F.posexplode(clean_lines(F.col("text"))).alias("line_no", "line"))
+    own = cut.select("doc_id", "line_no", F.trim("line").alias("normal")).where("normal <> ''")
+    some = own.select("doc_id", "line_no", "normal", n_words(F.col("normal")).alias("n"))
+    halves = F.when(F.col("n") >= min_words, half_keys(F.col("normal"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
+    return some.select("doc_id", "line_no", F.unhex(F.md5("normal")).alias("key"), halves.alias("halves"))
 
 
-def half_keys(words: Column, n: Column) -> Column:
+def half_keys(normal: Column, n: Column) -> Column:
     """Keys of the first and last half of a line, for the line as the shorter and as the longer of a pair: lines within one
     word share one of them, as the edit leaves one half whole."""
 
     def of(m: Column) -> list[Column]:
         half = F.floor(m / 2).cast("int")
-        return [F.xxhash64(m, F.lit("first"), _hash(F.slice(words, F.lit(1), half))), F.xxhash64(m, F.lit("last"), _hash(F.slice(words, n - half + 1, half)))]
+        return [F.xxhash64(m, F.lit("first"), _first(normal, half)), F.xxhash64(m, F.lit("last"), _first(normal, -half))]
 
     return F.array(*of(n), *of(n - 1))
 
 
 def possible_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """place and words of the distinct lines that share a half with another; no other line can be within one word of one.
-    Their words are cut from the texts of the documents that have any."""
+    """place and normal (single spaces) of the distinct lines that share a half with another; no other line can be within one
+    word of one.  They are cut from the texts of the documents that have any."""
     halves = first.select("doc_id", "line_no", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
     able = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("at"))
-    cut = docs.join(able, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("at").alias("line_no"))
-    return cut.select(F.struct("doc_id", "line_no").alias("place"), line_words(F.element_at("all", F.col("line_no") + 1)).alias("words")).dropDuplicates(["place"])
+    cut = docs.join(able, "doc_id").select("doc_id", clean_lines(F.col("text")).alias("all"), F.explode("at").alias("line_no"))
+    return cut.select(F.struct("doc_id", "line_no").alias("place"), F.trim(F.element_at("all", F.col("line_no") + 1)).alias("normal")).dropDuplicates(["place"])
 
 
 def near_pairs(possible: DataFrame, min_words: int) -> DataFrame:
@@ -66,14 +65,10 @@ def near_pairs(possible: DataFrame, min_words: int) -> DataFrame:
     line's variant and the shorter line itself; as all lines under one key are alike, its earliest line is all that the others
     need, so no pairs are made within a key.
     """
-    some = possible.withColumn("n", F.size("words"))
-
-    def without(i: Column) -> Column:
-        return _hash(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.greatest(F.col("n") - i - 1, F.lit(0)))))
-
-    variants = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(without(i).alias("h"), i.alias("p")))
-    whole = F.array(F.struct(_hash(F.col("words")).alias("h"), F.lit(-1).alias("p")))
-    emitted = materialise(some.select("place", "n", F.explode(F.concat(variants, whole)).alias("v")).select("place", "n", "v.h", "v.p"), "variants")
+    some = possible.withColumn("n", n_words(F.col("normal")))
+    each = some.select("place", "n", "normal", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("p"))  # -1: the line itself
+    without = F.trim(F.concat(_first(F.col("normal"), F.col("p")), F.lit(" "), _first(F.col("normal"), F.col("p") + 1 - F.col("n"))))
+    emitted = materialise(each.select("place", "n", F.xxhash64(F.when(F.col("p") < 0, F.col("normal")).otherwise(without)).alias("h"), "p"), "variants")
     replaced = emitted.where("p >= 0").groupBy("h", "p", "n").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
     by_place = emitted.join(replaced, ["h", "p", "n"]).where("place <> low").select("place", F.col("low").alias("other"))
     longer = emitted.where(f"p >= 0 and n > {min_words}").select("h", (F.col("n") - 1).alias("n"), "place")
@@ -103,8 +98,8 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     first = materialise(keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "halves")).alias("f")).select("key", "f.doc_id", "f.line_no", "f.halves"), "first")
     possible = materialise(possible_lines(doc, first), "possible")
     pair = near_pairs(possible, min_words)
-    own = possible.select("place", F.col("words").alias("w"))
-    others = possible.select(F.col("place").alias("other"), F.col("words").alias("o"))
+    own = possible.select("place", F.split("normal", " ").alias("w"))
+    others = possible.select(F.col("place").alias("other"), F.split("normal", " ").alias("o"))
     near = pair.join(own, "place").join(others, "other").where(within_one(F.col("w"), F.col("o"))).select("place.doc_id", "place.line_no", F.lit(True).alias("near"))
     judged = materialise(first.select("key", "doc_id", "line_no").join(near, ["doc_id", "line_no"], "left").select("key", F.struct("doc_id", "line_no").alias("first"), "near"), "judged")
     again = keyed.select("key", "doc_id", "line_no").join(judged, "key").where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first")))
