@@ -279,6 +279,10 @@ def test_licenses(spark):
     got = {r.doc_id: (r.license_id, r.n_lines, r.line_licenses) for r in licenses.scan(frame(spark, rows)).collect()}
     assert got[1][0] == "MIT" and got[2] == (None, 1, "MIT")
     assert got[3] == got[5] == (None, 0, "") and got[4][0] is None
+    own = [(1, "Do As You Like"), (2, "first\ndo as you like!"), (3, None)]
+    got = {r.doc_id: (r.license_id, r.n_lines, r.line_licenses) for r in licenses.scan(frame(spark, own), (("Free", "Do as you like."),)).collect()}
+    assert got == {1: ("Free", 1, "Free"), 2: (None, 1, "Free"), 3: (None, 0, "")}
+    assert [r.n_lines for r in licenses.scan(frame(spark, own[:1]), ()).collect()] == [0]
 
 
 def test_empty_tables(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("noncommercial", "non commercial"), ("sublicence", "sublicense"), ("favour", "favor"), ("whilst", "while"),
 )
 
+#: What all licences of KNOWN have in any of their spellings.
+_COMMON = "(?i)licen|permission|software"
+
 
 def canonical(text: Column) -> Column:
     """Lower case, without lines that begin with a copyright mark, letters and digits alone, one space between words, one
@@ -44,15 +49,18 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFra
     (lines that as a whole are a known licence text or notice) and line_licenses (their identifiers, sorted, comma-joined).
 
     A null text counts as empty and matches nothing; repeated rows come back as often as they are given; other columns are
-    ignored; an empty table gives an empty result.  The known digests are the caller's list, so they are broadcast.
+    ignored; an empty table gives an empty result.  The known digests are the caller's list, so they are broadcast;
+    an empty list matches nothing.
     Line matches are found with one lookup in a map of the known line digests; nothing is shuffled.
     """
     spark = docs.sparkSession
     digests = known_digests(spark, known)
     rows = {r["digest"]: r["license_id"] for r in digests.collect()}
-    table_ = F.create_map(*(F.lit(x) for pair in sorted(rows.items()) for x in pair))
-    worded = F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen|permission|software"))
-    hits = F.filter(F.transform(worded, lambda x: F.try_element_at(table_, F.md5(canonical(x)))), lambda x: x.isNotNull())
+    table_ = F.create_map(*(F.lit(x) for pair in sorted(rows.items()) for x in pair)).cast("map<string,string>")
+    lines = F.split("text", "\n")
+    if all(re.search(_COMMON, t) for _, t in known):  # then a line without these words can't be one of them
+        lines = F.filter(lines, lambda x: x.rlike(_COMMON))
+    hits = F.filter(F.transform(lines, lambda x: F.try_element_at(table_, F.md5(canonical(x)))), lambda x: x.isNotNull())
     found = texts(docs).select("doc_id", F.md5(canonical(F.col("text"))).alias("digest"), hits.alias("hits"))
     return found.join(F.broadcast(digests), "digest", "left").select("doc_id", "digest", "license_id", F.size("hits").cast("long").alias("n_lines"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("line_licenses"))
 
