@@ -20,6 +20,22 @@ def terms(text: str) -> set[str]:
     return set(_words(text.lower()))
 
 
+def shared_terms(rows: pa.Table) -> tuple[list[int], list[set[str]]]:
+    """The order of the rows by doc_id (then terms) and their terms in that order, without those that fewer than three rows
+    have, which no model takes.  Rows share their strings, so that the driver holds each term once."""
+    known: dict[str, str] = {}
+    count: dict[str, int] = {}
+    lists = []
+    for x in rows.column("terms"):
+        own = [known.setdefault(t, t) for t in x.as_py()]
+        for t in own:
+            count[t] = count.get(t, 0) + 1
+        lists.append(own)
+    doc = rows.column("doc_id").to_pylist()
+    order = sorted(range(len(lists)), key=lambda i: (doc[i], lists[i]))
+    return order, [{t for t in lists[i] if count[t] >= 3} for i in order]
+
+
 @dataclass
 class LinearModel:
     """Logistic regression on presence of terms and on the probabilities of earlier categories."""
@@ -116,11 +132,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, bins: in
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "quality")), pa.array([sorted(terms(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "toxic", "quality", "terms"])
 
     found = doc.join(F.broadcast(pick), "doc_id").select("doc_id", "toxic", "quality", "text").mapInArrow(reduce_, "doc_id long, toxic int, quality int, terms array<string>")
-    fit = sorted(found.select("doc_id", "toxic", "quality", "terms").collect(), key=lambda r: (r[0], r[3]))
-    if len({r["toxic"] for r in fit}) < 2:
+    fit = found.select("doc_id", "toxic", "quality", "terms").toArrow()
+    toxic, quality = (np.asarray(fit.column(c).to_pylist(), np.int64) for c in ("toxic", "quality"))
+    if len(np.unique(toxic)) < 2:
         return doc.select("doc_id", *(F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES), F.lit(False).alias("is_toxic"))
-    y = np.array([(1 - r["quality"], r["toxic"], r["toxic"] * (1 - r["quality"])) for r in fit])
-    shared = spark.sparkContext.broadcast(fit_chain([set(r["terms"]) for r in fit], y))
+    order_, sets = shared_terms(fit)
+    toxic, poor = toxic[order_], 1 - quality[order_]
+    shared = spark.sparkContext.broadcast(fit_chain(sets, np.stack([poor, toxic, toxic * poor], 1)))
 
     def run(batches):
         for b in batches:
