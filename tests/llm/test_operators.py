@@ -262,6 +262,21 @@ def test_fuzzy_passage_is_found_across_gaps(spark):
     assert got[1] == 0 and got[2] >= 110
 
 
+def test_passages_around_unlike_text_are_found(spark):
+    """Two passages in the same order with unlike words between, and a copy with a block inserted or replaced."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k, gap in enumerate((30, 60, 100, 300)):
+        a, b = sentence(rng, 100), sentence(rng, 100)
+        rows += [(10 * k, f"{a} {sentence(rng, gap)} {b}"), (10 * k + 1, f"{a} {sentence(rng, gap)} {b}"), (10 * k + 2, f"{a} {sentence(rng, gap)} new {b}")]
+        rows += [(10 * k + 3, f"{a} {sentence(rng, 2 * gap)} {b}"), (10 * k + 4, f"{a} {b}")]
+        want |= {10 * k + j: (100, gap * (2 if j == 3 else 0 if j == 4 else 1) + (j == 2)) for j in range(1, 5)}
+    got = {r.doc_id: r for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    for i, (n, gap) in want.items():
+        inside = {k for s in got[i].spans for k in range(s["start"], s["end"])}
+        assert inside >= {*range(n), *range(n + gap, 2 * n + gap)}, i
+
+
 def test_pages(spark):
     p = '<html><head><title>T</title><style>x{}</style></head><body><nav><a>Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>One <b>two<br>three\n four<p>five &lt;x&gt;<script>var a="</p>";</script><aside>no</aside><form>no</form></article><div id="comments">no</div><footer>&copy;</footer>'
     rows = [(1, "http://a/x", p), (2, None, None), (3, "http://a/y", ""), (4, "bad url", "plain &eacute; text")]
