@@ -277,6 +277,25 @@ def test_passages_around_unlike_text_are_found(spark):
         assert inside >= {*range(n), *range(n + gap, 2 * n + gap)}, i
 
 
+def test_passages_with_spread_edits_are_found(spark):
+    """Passages of 60 to 120 words with 5 to 20 % of their words changed at random places, between words of their own."""
+    rng, rows, share = random.Random(13), [], {}
+    for case, (n, part) in enumerate(((60, 0.05), (60, 0.1), (60, 0.2), (80, 0.1), (80, 0.2), (120, 0.2))):
+        for k in range(40):
+            a = sentence(rng, n).split()
+            b = a.copy()
+            for at in rng.sample(range(1, n - 1), round(n * part)):
+                b[at] = sentence(rng, 1) + "x"
+            i = 1000 * case + 2 * k
+            rows += [(i, f"{sentence(rng, 30)} {' '.join(a)} {sentence(rng, 30)}"), (i + 1, f"{sentence(rng, 30)} {' '.join(b)} {sentence(rng, 30)}")]
+    got = {r.doc_id: r.n_dup_words for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    for case in range(6):
+        share[case] = sum(got[1000 * case + 2 * k + 1] >= 50 for k in range(40)) / 40
+    print("share found", share)
+    assert min(share[c] for c in (0, 1, 3)) == 1 and share[5] >= 0.95 and min(share[2], share[4]) >= 0.8, share
+    assert not any(got[i] for i, _ in rows if i % 2 == 0)
+
+
 def test_pages(spark):
     p = '<html><head><title>T</title><style>x{}</style></head><body><nav><a>Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>One <b>two<br>three\n four<p>five &lt;x&gt;<script>var a="</p>";</script><aside>no</aside><form>no</form></article><div id="comments">no</div><footer>&copy;</footer>'
     rows = [(1, "http://a/x", p), (2, None, None), (3, "http://a/y", ""), (4, "bad url", "plain &eacute; text")]
