@@ -296,6 +296,20 @@ def test_passages_with_spread_edits_are_found(spark):
     assert not any(got[i] for i, _ in rows if i % 2 == 0)
 
 
+def test_passage_is_found_though_others_have_its_phrases(spark):
+    """Document 90 repeats a passage of 80 with three of each 18 words changed; all phrases of it stand in earlier documents."""
+    rng = random.Random(14)
+    passage = sentence(rng, 87).split()
+    phrases = [passage[i : i + 8] for i in range(0, 84, 4)]
+    rows = [(i, f"{sentence(rng, 40)} {' '.join(x)} {sentence(rng, 40)}") for i, x in enumerate(phrases)]
+    copy = [x if k % 18 < 15 else "new" + x for k, x in enumerate(passage)]
+    rows += [(80, f"{' '.join(passage[20:30])} {sentence(rng, 30)} {' '.join(passage)} {sentence(rng, 30)}"), (90, f"{sentence(rng, 30)} {' '.join(copy)} {sentence(rng, 30)}")]
+    got = {r.doc_id: r for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    inside = {k for s in got[90].spans for k in range(s["start"], s["end"])}
+    assert inside >= set(range(30, 117)) and len(inside) < 100
+    assert not any(got[i].n_dup_words for i in range(len(phrases)))
+
+
 def test_pages(spark):
     p = '<html><head><title>T</title><style>x{}</style></head><body><nav><a>Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>One <b>two<br>three\n four<p>five &lt;x&gt;<script>var a="</p>";</script><aside>no</aside><form>no</form></article><div id="comments">no</div><footer>&copy;</footer>'
     rows = [(1, "http://a/x", p), (2, None, None), (3, "http://a/y", ""), (4, "bad url", "plain &eacute; text")]
