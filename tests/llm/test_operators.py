@@ -333,6 +333,20 @@ def test_licenses(spark):
     assert [r.n_lines for r in licenses.scan(frame(spark, own[:1]), ()).collect()] == [0]
 
 
+def test_licence_files_as_they_are_distributed(spark):
+    import textwrap
+
+    mit, isc = textwrap.fill(licenses.KNOWN[0][1], 78), textwrap.fill(licenses.KNOWN[1][1], 75)
+    isc = isc.replace("above copyright", "above\ncopyright").replace("copies. THE", "copies.\n\nTHE")
+    bsd = open("/usr/share/common-licenses/BSD").read().replace("the University", "the copyright holder").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+    rows = [("MIT", f"MIT License\n\nCopyright (c) 2020 A Body\n\n{mit}\n"), ("MIT", f"The MIT License (MIT)\nCopyright 2020 A\n{mit}"), ("ISC", f"ISC License\n\nCopyright (c) 2020, A Body\n\n{isc}\n")]
+    rows += [("0BSD", f"BSD Zero Clause License\n\nCopyright (c) 2020 A\n\n{textwrap.fill(licenses.KNOWN[2][1], 78)}"), ("Zlib", f"zlib License\n\n(C) 2020 A\n\n{textwrap.fill(licenses.KNOWN[3][1], 78)}"), ("BSD-3-Clause", bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd)]
+    rows += [(i, open(f"/usr/share/common-licenses/{n}").read()) for i, n in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"))]
+    rows += [(None, "MIT License\n\nCopyright (c) 2020 A Body"), (None, f"MIT License\n{mit} and more")]
+    got = {r.doc_id: r.license_id for r in licenses.scan(frame(spark, [(k, t) for k, (_, t) in enumerate(rows)])).collect()}
+    assert got == {k: i for k, (i, _) in enumerate(rows)}
+
+
 def test_empty_tables(spark):
     none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     path = public_tokenizers.path("word_bpe_49k.json")

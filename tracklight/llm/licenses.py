@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,48 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+_ISC_WRAPPED = KNOWN[1][1].replace("above copyright notice and this permission notice appear in all copies. ", "above\ncopyright notice and this permission notice appear in all copies.\n")
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{2}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {3} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BODIES = (
+    *KNOWN[:4],
+    ("ISC", _ISC_WRAPPED),
+    *(("BSD-2-Clause", _BSD.format(*m[:2], "", h)) for m in (("1. ", "2. "), ("", "")) for h in ("HOLDER", "HOLDERS", "OWNER")),
+    *(("BSD-3-Clause", _BSD.format(*m[:2], m[2] + _NAMES, h)) for m in (("1. ", "2. ", "3. "), ("", "", "")) for h in ("HOLDER", "HOLDERS", "OWNER")),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + " For more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", _UNLICENSE + " For more information, please refer to <http://unlicense.org/>"),
+)
+#: Title lines that stand before a licence's text, if any.
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License"), "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License"), "Unlicense": ("The Unlicense",),
+}
+
+
+def listed() -> tuple[tuple[str, str], ...]:
+    """KNOWN, the usual licences with and without their titles, and the long ones as they are distributed."""
+    short = tuple((i, f"{title}\n{rights}\n{body}") for i, body in _BODIES for title in ("", *_TITLES[i]) for rights in ("", "All rights reserved."))
+    long = tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+    return (*KNOWN, *short, *long)
+
+
 #: Spellings that count as one.
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("noncommercial", "non commercial"), ("sublicence", "sublicense"), ("favour", "favor"), ("whilst", "while"),
 )
 
-#: What all licences of KNOWN have in any of their spellings.
+#: What all listed licences have in any of their spellings.
 _COMMON = "(?i)licen|permission|software"
 
 
@@ -44,16 +81,17 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
     return spark.createDataFrame(list(known), "license_id string, known string").select("license_id", F.md5(canonical(F.col("known"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """doc_id, digest (of the whole canonical text), license_id (null if the text as a whole is no known licence), n_lines
     (lines that as a whole are a known licence text or notice) and line_licenses (their identifiers, sorted, comma-joined).
 
     A null text counts as empty and matches nothing; repeated rows come back as often as they are given; other columns are
     ignored; an empty table gives an empty result.  The known digests are the caller's list, so they are broadcast;
-    an empty list matches nothing.
+    an empty list matches nothing, and without a list the licences are those of listed().
     Line matches are found with one lookup in a map of the known line digests; nothing is shuffled.
     """
     spark = docs.sparkSession
+    known = listed() if known is None else known
     digests = known_digests(spark, known)
     rows = {r["digest"]: r["license_id"] for r in digests.collect()}
     table_ = F.create_map(*(F.lit(x) for pair in sorted(rows.items()) for x in pair)).cast("map<string,string>")
