@@ -66,7 +66,8 @@ class PairIndexBPE:
         at = np.flatnonzero(rank >= 0)
         at = at[np.argsort(rank[at], kind="stable")]
         seen, heads = np.unique(rank[at], return_index=True)
-        where: dict[int, list[int]] = dict(zip(seen.tolist(), map(np.ndarray.tolist, np.split(at, heads[1:])), strict=True))
+        lists = np.split(at, heads[1:]) if len(seen) else []
+        where: dict[int, list[int]] = dict(zip(seen.tolist(), map(np.ndarray.tolist, lists), strict=True))
         sym, active = sym.tolist(), seen.tolist()
         nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
         ranks, parts = self.ranks.get, self.parts

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import os
 import re
@@ -22,8 +23,9 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable on executors and keep Arrow batches small enough for very long texts."""
+    """Make this package importable on executors and keep Arrow batches small in rows and in bytes, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -37,15 +39,25 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediate tables; a temporary one only where none is set (tests)."""
+    """The folder that the cluster shares for intermediate tables.  Only a session of one machine (tests) gets a temporary one
+    where none is set; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Intermediate tables that are still there.
+_tables: set[str] = set()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
+    if path not in _tables:
+        return
+    _tables.discard(path)
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return  # the session has ended; the folder's owner cleans up
@@ -53,14 +65,47 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Shuffle files of the jobs within go as soon as each has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs nothing but
-    its running tasks.  The table goes when the driver ends."""
+    its running tasks.  The table goes with release() or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _tables.add(path)
     atexit.register(functools.partial(_remove, spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Drop materialised tables that no DataFrame reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.stored_at)
+
+
+def release_others(docs: DataFrame) -> None:
+    """Drop all materialised tables but those that docs reads."""
+    if not _tables:
+        return
+    plain = lambda p: re.sub(r"^[a-z][a-z0-9+.-]*:/+", "/", p)
+    read = [plain(f) for f in docs.inputFiles()]
+    for path in list(_tables):
+        if not any(f.startswith(plain(path) + "/") for f in read):
+            _remove(docs.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

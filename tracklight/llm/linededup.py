@@ -3,14 +3,19 @@
 The unit of an edit is a word: two lines are alike if one word's insertion, deletion or replacement makes them equal, which
 covers any edits of characters inside a word.  Lines whose shorter one has fewer than `min_words` words must be equal (one
 word of five is the 0.8 that near-duplicates need).
+
+A line stands at (doc_id, tag, line_no); the tag is a hash of the text, so rows that share a doc_id but not a text are documents
+of their own, in the order of their tags, and rows that share both are one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import materialise, table, texts
+from tracklight.llm.common import materialise, release, table, texts
+
+PLACE = ("doc_id", "tag", "line_no")
 
 
 def clean_lines(text: Column) -> Column:
@@ -23,60 +28,90 @@ def n_words(normal: Column) -> Column:
     return (F.octet_length(normal) - F.octet_length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def _first(normal: Column, n: Column) -> Column:
-    return F.call_function("substring_index", normal, F.lit(" "), n)
+def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """PLACE, key (128 bits of the line's words) and halves (half keys, none for short lines) of each line with a word.  Texts
+    go no further than this, and runs of white space are sought once for each text."""
+    cut = docs.select("doc_id", "tag", F.posexplode(clean_lines(F.col("text"))).alias("line_no", "line"))
+    own = cut.select(*PLACE, F.trim("line").alias("normal")).where("normal <> ''")
+    some = own.select(*PLACE, "normal", n_words(F.col("normal")).alias("n"))
+    halves = F.when(F.col("n") >= min_words, half_keys(F.col("normal"), F.col("n"), min_words)).otherwise(F.array().cast("array<bigint>"))
+    return some.select(*PLACE, F.unhex(F.md5("normal")).alias("key"), halves.alias("halves"))
 
 
-def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no, key (128 bits of the line's words) and halves (half keys, none for short lines) of each line with a
-    word.  Texts go no further than this, and runs of white space are sought once for each text."""
-    cut = docs.select("doc_id", F.posexplode(clean_lines(F.col("text"))).alias("line_no", "line"))
-    own = cut.select("doc_id", "line_no", F.trim("line").alias("normal")).where("normal <> ''")
-    some = own.select("doc_id", "line_no", "normal", n_words(F.col("normal")).alias("n"))
-    halves = F.when(F.col("n") >= min_words, half_keys(F.col("normal"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
-    return some.select("doc_id", "line_no", F.unhex(F.md5("normal")).alias("key"), halves.alias("halves"))
+def half_keys(normal: Column, n: Column, min_words: int) -> Column:
+    """Keys of the first and last words of a line, such that two lines within one word share a key.
 
+    Lengths fall into classes (four for each doubling).  The key of a class that starts at b has b div 2 words; an edit of a
+    line of b words or more leaves that many at one end whole.  A pair meets in the class of its shorter line, so a line that
+    begins a class has the keys of the class before it too.
+    """
 
-def half_keys(normal: Column, n: Column) -> Column:
-    """Keys of the first and last half of a line, for the line as the shorter and as the longer of a pair: lines within one
-    word share one of them, as the edit leaves one half whole."""
+    def start(m: Column) -> Column:
+        step = F.pow(F.lit(2), F.greatest(F.length(F.bin(m)) - 3, F.lit(0))).cast("int")
+        return (m - m % step).cast("int")
 
-    def of(m: Column) -> list[Column]:
-        half = F.floor(m / 2).cast("int")
-        return [F.xxhash64(m, F.lit("first"), _first(normal, half)), F.xxhash64(m, F.lit("last"), _first(normal, -half))]
+    def of(b: Column) -> list[Column]:
+        half = F.floor(b / 2).cast("int")
+        part = lambda k: F.call_function("substring_index", normal, F.lit(" "), k)
+        return [F.xxhash64(b, F.lit("first"), part(half)), F.xxhash64(b, F.lit("last"), part(-half))]
 
-    return F.array(*of(n), *of(n - 1))
+    first_of_class = (start(n - 1) != start(n)) & (n > min_words)
+    return F.when(first_of_class, F.array(*of(start(n)), *of(start(n - 1)))).otherwise(F.array(*of(start(n))))
 
 
 def possible_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """place and normal (single spaces) of the distinct lines that share a half with another; no other line can be within one
-    word of one.  They are cut from the texts of the documents that have any."""
-    halves = first.select("doc_id", "line_no", F.explode("halves").alias("half"))
+    """PLACE, normal (single spaces) and n (words) of the distinct lines that share a half with another; no other line can be
+    within one word of one.  They are cut from the texts of the documents that have any."""
+    halves = first.select(*PLACE, F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    able = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("at"))
-    cut = docs.join(able, "doc_id").select("doc_id", clean_lines(F.col("text")).alias("all"), F.explode("at").alias("line_no"))
-    return cut.select(F.struct("doc_id", "line_no").alias("place"), F.trim(F.element_at("all", F.col("line_no") + 1)).alias("normal")).dropDuplicates(["place"])
+    able = materialise(halves.join(shared, "half", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("line_no").alias("at")), "able")
+    cut = docs.join(able, ["doc_id", "tag"]).select("doc_id", "tag", clean_lines(F.col("text")).alias("all"), F.explode("at").alias("line_no"))
+    own = cut.select(*PLACE, F.trim(F.element_at("all", F.col("line_no") + 1)).alias("normal")).dropDuplicates(PLACE)
+    possible = materialise(own.withColumn("n", n_words(F.col("normal"))), "possible")
+    release(able)
+    return possible
+
 
+def variants(possible: DataFrame) -> DataFrame:
+    """place, n, p, h, g: 128 bits of each line without its word p, and of the whole line (p = -1).
 
-def near_pairs(possible: DataFrame, min_words: int) -> DataFrame:
-    """place of lines and the earliest earlier line (other) that shares a deletion variant with each.
+    Bits of a word sequence are the XOR of each word's hash with its place.  Without word p, the words before it keep their
+    places and those after it move down by one, so running XORs over the line's words give all its variants in one pass,
+    however long the line is.
+    """
+    each = possible.select(*PLACE, "n", F.posexplode(F.split("normal", " ")).alias("p", "w"))
+    stay = lambda seed: F.xxhash64(F.lit(seed), "w", "p")
+    moved = lambda seed: F.xxhash64(F.lit(seed), "w", F.col("p") - 1)
+    each = each.select(*PLACE, "n", "p", stay(1).alias("a1"), moved(1).alias("b1"), stay(2).alias("a2"), moved(2).alias("b2"))
+    line = Window.partitionBy(*PLACE)
+    before = line.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    run = {}
+    for k in ("1", "2"):
+        run[f"v{k}"] = F.coalesce(F.bit_xor(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))).over(before), F.lit(0)).bitwiseXOR(F.bit_xor(f"b{k}").over(line)).bitwiseXOR(F.col(f"b{k}"))
+        run[f"whole{k}"] = F.bit_xor(f"a{k}").over(line)
+    got = each.withColumns(run)
+    one = lambda p, h, g: F.struct(p.alias("p"), h.alias("h"), g.alias("g"))
+    own = one(F.col("p"), F.col("v1"), F.col("v2"))
+    all_ = F.when(F.col("p") == 0, F.array(own, one(F.lit(-1), F.col("whole1"), F.col("whole2")))).otherwise(F.array(own))
+    return got.select(F.struct(*PLACE).alias("place"), "n", F.inline(all_))
+
+
+def near_pairs(emitted: DataFrame, min_words: int) -> DataFrame:
+    """place of lines and other, an earlier line that shares a deletion variant with each: the earliest under every key.
 
     Replacements meet under the key of the variant and its position, insertions and deletions under the key of the longer
     line's variant and the shorter line itself; as all lines under one key are alike, its earliest line is all that the others
     need, so no pairs are made within a key.
     """
-    some = possible.withColumn("n", n_words(F.col("normal")))
-    each = some.select("place", "n", "normal", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("p"))  # -1: the line itself
-    without = F.trim(F.concat(_first(F.col("normal"), F.col("p")), F.lit(" "), _first(F.col("normal"), F.col("p") + 1 - F.col("n"))))
-    emitted = materialise(each.select("place", "n", F.xxhash64(F.when(F.col("p") < 0, F.col("normal")).otherwise(without)).alias("h"), "p"), "variants")
-    replaced = emitted.where("p >= 0").groupBy("h", "p", "n").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
-    by_place = emitted.join(replaced, ["h", "p", "n"]).where("place <> low").select("place", F.col("low").alias("other"))
-    longer = emitted.where(f"p >= 0 and n > {min_words}").select("h", (F.col("n") - 1).alias("n"), "place")
-    shorter = emitted.where("p = -1").select("h", "n", "place")
-    one_word = longer.groupBy("h", "n").agg(F.min("place").alias("long_first")).join(shorter, ["h", "n"])
+    key = ["h", "g", "n"]
+    replaced = emitted.where("p >= 0").groupBy(*key, "p").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
+    by_place = emitted.join(replaced, [*key, "p"]).where("place <> low").select("place", F.col("low").alias("other"))
+    longer = emitted.where(f"p >= 0 and n > {min_words}").select("h", "g", (F.col("n") - 1).alias("n"), "place")
+    shorter = emitted.where("p = -1").select(*key, "place")
+    one_word = longer.groupBy(*key).agg(F.min("place").alias("long_first")).join(shorter, key)
     later_short = one_word.where("long_first < place").select("place", F.col("long_first").alias("other"))
-    later_long = longer.withColumnRenamed("place", "long_place").join(shorter, ["h", "n"]).where("place < long_place").select(F.col("long_place").alias("place"), F.col("place").alias("other"))
-    return by_place.unionByName(later_short).unionByName(later_long).groupBy("place").agg(F.min("other").alias("other"))
+    later_long = longer.withColumnRenamed("place", "long_place").join(shorter, key).where("place < long_place").select(F.col("long_place").alias("place"), F.col("place").alias("other"))
+    return by_place.unionByName(later_short).unionByName(later_long).distinct()
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -92,34 +127,41 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """doc_id, line_no of every line that an earlier line (by doc_id, then line number) equals or is within one word of."""
-    doc = texts(docs, None).where("doc_id is not null")
-    keyed = materialise(keyed_lines(doc, min_words), "lines")
-    first = materialise(keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "halves")).alias("f")).select("key", "f.doc_id", "f.line_no", "f.halves"), "first")
-    possible = materialise(possible_lines(doc, first), "possible")
-    pair = near_pairs(possible, min_words)
-    own = possible.select("place", F.split("normal", " ").alias("w"))
-    others = possible.select(F.col("place").alias("other"), F.split("normal", " ").alias("o"))
-    near = pair.join(own, "place").join(others, "other").where(within_one(F.col("w"), F.col("o"))).select("place.doc_id", "place.line_no", F.lit(True).alias("near"))
-    judged = materialise(first.select("key", "doc_id", "line_no").join(near, ["doc_id", "line_no"], "left").select("key", F.struct("doc_id", "line_no").alias("first"), "near"), "judged")
-    again = keyed.select("key", "doc_id", "line_no").join(judged, "key").where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first")))
-    return again.select("doc_id", "line_no").distinct()
+    """PLACE of every line that an earlier line equals or is within one word of.  docs: doc_id, tag, text."""
+    keyed = materialise(keyed_lines(docs, min_words), "lines")
+    first = materialise(keyed.groupBy("key").agg(F.min(F.struct(*PLACE, "halves")).alias("f")).select("key", *(f"f.{c}" for c in PLACE), "f.halves"), "first")
+    possible = possible_lines(docs, first)
+    emitted = materialise(variants(possible), "variants")
+    pair = materialise(near_pairs(emitted, min_words), "pairs")
+    release(emitted)
+    line = possible.select(F.struct(*PLACE).alias("place"), F.split("normal", " ").alias("w"))
+    both = pair.join(line, "place").join(line.select(F.col("place").alias("other"), F.col("w").alias("o")), "other")
+    near = both.where(within_one(F.col("w"), F.col("o"))).select("place.*").distinct().withColumn("near", F.lit(True))
+    judged = materialise(first.select("key", *PLACE).join(near, [*PLACE], "left").select("key", F.struct(*PLACE).alias("first"), "near"), "judged")
+    release(first, possible, pair)
+    return keyed.select("key", *PLACE).join(judged, "key").where(F.coalesce("near", F.lit(False)) | (F.struct(*PLACE) != F.col("first"))).select(*PLACE)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """All columns of docs with text without its dropped lines, and n_lines and n_dropped.
 
-    A line goes if an earlier one equals it (white space aside) or, from min_words words on, is within one word of it.
-    Lines without a word stay.  A null text stays null, an empty one empty; a text whose lines all go becomes empty.  Rows
-    that repeat a doc_id lose the same line numbers; rows with a null doc_id are kept as they are.  Any other column is kept,
-    whatever its name, as long as it isn't n_lines or n_dropped, which are replaced.  An empty table gives an empty result.
+    A line goes if an earlier one (by doc_id, then the hash of the text, then line number) equals it, white space aside, or,
+    from min_words words on, is within one word of it.  Lines without a word stay.  A null text stays null, an empty one empty;
+    a text whose lines all go becomes empty.  Rows that share doc_id and text are one document and lose the same lines; rows
+    that share a doc_id alone are documents of their own; rows with a null doc_id are kept as they are.  Any other column is
+    kept, whatever its name, but n_lines and n_dropped are replaced.  A line may have any number of words.  An empty table
+    gives an empty result.
     """
-    gone = dropped_lines(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_doc")
     own = docs.drop("n_lines", "n_dropped")
-    joined = own.join(gone, own["doc_id"].cast("long") == gone["_doc"], "left").drop("_doc")
-    every = F.split("text", "\n")
-    kept = F.array_join(F.filter(every, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumns({"n_lines": F.coalesce(F.size(every), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)}).drop("_gone")
+    names = own.columns
+    rows = own.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
+    doc = texts(docs, None).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    gone = dropped_lines(doc, min_words).groupBy("doc_id", "tag").agg(F.collect_set("line_no").alias("gone"))
+    lines = F.split("text", "\n")
+    left = lambda e: F.array_except(F.sequence(F.lit(0), F.size(e) - 1), F.col("gone"))
+    kept = F.transform(F.array(lines), lambda e: F.array_join(F.transform(left(e), lambda i: F.get(e, i)), "\n"))[0]
+    found = rows.join(gone, ["doc_id", "tag"], "left").select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return found.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names), "n_lines", "n_dropped")
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
