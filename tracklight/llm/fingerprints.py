@@ -1,9 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.  DataFrame functions only.
 
-Each paragraph (line) of a text is one key: 46 bits of its hash and 18 bits of its length.  A key is added to one cell in
-each of three parts of the sketch; a cell holds the number, the XOR of the keys and the XOR of their check hashes.  Subtracting
-two sketches cancels what the texts share, and peeling (a cell with one key gives it away and lets it be taken from its other
-cells) recovers the keys that differ.  Where cells are left over, both sketches are made anew four times as large.
+A paragraph is a sentence of a line (or a piece of a very long one), so that an edit costs only its surroundings.  Each distinct paragraph is one key: a 64-bit hash with the paragraph's
+length.  A key is added to one cell in each of three parts of the sketch; a cell holds the number, and the XOR of the keys, of
+their lengths and of their check hashes.  A sketch is kept as its cells that aren't empty, in order, so that adding, subtracting
+and peeling are each a sort and a pass.  Subtracting two sketches cancels what the texts share, and peeling (a cell with one key
+gives it away and lets it be taken from its other cells) recovers the keys that differ.  Where cells are left over, both sketches
+are made anew with twice the cells.
 """
 
 from __future__ import annotations
@@ -11,131 +13,174 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import table, texts
+from tracklight.llm.common import materialise, table, texts
 
-#: Cells in each of the three parts, from the stored sketch to the last retry.
-SIZES = (11, 44, 176, 704)
-ROUNDS = 24
+#: Cells in each part of the smallest sketch, cells for each key, and how often a pair of sketches is made larger.
+LEAST, ROOM, RETRIES, ROUNDS = 8, 1.5, 4, 24
+_CUT = r"\n|(?<=[.!?;:。！？；][\x20\x09])|(?<=[。！？；])"
+#: Where what has no sentence ends for LONG characters is cut: before words with one of these letters, and within words of
+#: scripts without spaces.
+LONG, _CUT_LONG = 240, r"(?<=[\x20\x09])(?=[bdfhmpvBDFHMPV0-4\u0411-\u0416\u0431-\u0436])|(?<=[\u4e00-\u50ff\u3040-\u3050])"
+_CELL = "array<struct<c: bigint, n: int, k: bigint, w: bigint, h: int>>"
 
 
 def paragraph_keys(text: Column) -> Column:
-    """The distinct paragraphs' keys, sorted."""
-    key = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~0x3FFFF)).bitwiseOR(F.least(F.length(p) + 1, F.lit(0x3FFFF)).cast("long"))
-    return F.array_sort(F.array_distinct(F.transform(F.split(text, "\n"), key)))
+    """The distinct paragraphs as array<struct<k hash, w length>>, sorted."""
+    pieces = F.flatten(F.transform(F.split(text, _CUT), lambda p: F.when(F.length(p) > LONG, F.split(p, _CUT_LONG)).otherwise(F.array(p))))
+    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.struct(F.xxhash64(p).alias("k"), (F.length(p) + 1).cast("long").alias("w")))))
 
 
-def weight(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(0x3FFFF))
+def sketch_size(n_keys: Column) -> Column:
+    """Cells in each part of the sketch of so many keys: a power of two."""
+    need = F.greatest(F.ceil(n_keys * ROOM / 3), F.lit(1)).cast("long")
+    return F.greatest(F.pow(F.lit(2), F.length(F.bin(need - 1))).cast("long"), F.lit(LEAST).cast("long"))
 
 
-def _places(key: Column, size: int) -> list[Column]:
-    h = F.xxhash64(key, F.lit("place"))
-    return [(F.pmod(F.shiftrightunsigned(h, 21 * j), F.lit(size)) + j * size).cast("int") for j in range(3)]
+def _check(k: Column, w: Column) -> Column:
+    return F.hash(k, w)
 
 
-def sketch(keys: Column, size: int) -> Column:
-    """array<struct<n int, k long, h long>> of 3 * size cells."""
-    entry = lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit("check")).alias("h"), *(p.alias(f"p{j}") for j, p in enumerate(_places(k, size))))
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    entries = F.transform(keys, entry)
+def _entries(keys: Column, size: Column, seed: int) -> Column:
+    """A cell for each key and part; keys: array<struct<k, w, n>>."""
 
-    def cell(i: Column) -> Column:
-        add = lambda a, e: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["h"].bitwiseXOR(e["h"]).alias("h"))
-        return F.aggregate(entries, empty, lambda a, e: F.when((e["p0"] == i) | (e["p1"] == i) | (e["p2"] == i), add(a, e)).otherwise(a))
+    def places(x: Column) -> Column:
+        h = F.xxhash64(x["k"], x["w"], F.lit(f"place{seed}"))
+        return F.transform(F.array(*(F.lit(j) for j in range(3))), lambda j: F.struct((F.pmod(F.xxhash64(h, j), size) + j * size).alias("c"), x["n"].alias("n"), x["k"].alias("k"), x["w"].alias("w"), _check(x["k"], x["w"]).alias("h")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * size - 1)), cell)
+    return F.flatten(F.transform(keys, places))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+def added(entries: Column) -> Column:
+    """Entries of the same cell summed, in the order of cells, without cells that come to nothing."""
+    zero = F.struct(F.lit(-1).cast("long").alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("h"))
+    start = F.struct(zero.alias("at"), F.array().cast(_CELL).alias("done"))
+    some = lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0) | (x["w"] != 0)
+    closed = lambda s: F.when((s["at"]["c"] >= 0) & some(s["at"]), F.concat(s["done"], F.array(s["at"]))).otherwise(s["done"])
 
+    def step(s: Column, e: Column) -> Column:
+        a = s["at"]
+        both = F.struct(a["c"].alias("c"), (a["n"] + e["n"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["w"].bitwiseXOR(e["w"]).alias("w"), a["h"].bitwiseXOR(e["h"]).alias("h"))
+        return F.when(a["c"] == e["c"], F.struct(both.alias("at"), s["done"].alias("done"))).otherwise(F.struct(e.alias("at"), closed(s).alias("done")))
 
-def peel(cells: Column, size: int) -> Column:
-    """struct<cells, found array<long>>: keys recovered in rounds; a rest in cells tells of failure."""
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"))
+    return F.aggregate(F.array_sort(entries), start, step, closed)
 
-    def step(state: Column, _: Column) -> Column:
-        pure = lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit("check")) == c["h"])
-        got = F.transform(F.filter(state["cells"], pure), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), c["h"].alias("h"), *(p.alias(f"p{j}") for j, p in enumerate(_places(c["k"], size)))))
-        return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.array_distinct(got).alias("got"))
 
-    def take(state: Column) -> Column:
-        less = lambda c, i: F.aggregate(state["got"], c, lambda a, g: F.when((g["p0"] == i) | (g["p1"] == i) | (g["p2"] == i), F.struct((a["n"] - g["n"]).alias("n"), a["k"].bitwiseXOR(g["k"]).alias("k"), a["h"].bitwiseXOR(g["h"]).alias("h"))).otherwise(a))
-        return F.struct(F.transform(state["cells"], less).alias("cells"), F.concat(state["found"], F.transform(state["got"], lambda g: g["k"])).alias("found"))
+def sketch(keys: Column, size: Column, seed: int = 0, sign: int = 1) -> Column:
+    return added(_entries(F.transform(keys, lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), F.lit(sign).alias("n"))), size, seed))
 
-    def round_(state: Column, i: Column) -> Column:
-        left = F.exists(state["cells"], lambda c: c["n"] != 0)
-        looked = F.transform(F.array(step(state, i)), take)[0]
-        return F.when(left, looked).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
+def negated(cells: Column) -> Column:
+    return F.transform(cells, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["w"].alias("w"), x["h"].alias("h")))
 
 
-def _done(state: Column) -> Column:
-    return ~F.exists(state["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0))
+def folded(cells: Column, old: Column, new: Column) -> Column:
+    """A sketch with parts of `old` cells as the one with parts of `new` cells, a divisor."""
+    place = lambda c: F.pmod(F.pmod(c, old), new) + F.floor(c / old).cast("long") * new
+    return F.when(old == new, cells).otherwise(added(F.transform(cells, lambda x: F.struct(place(x["c"]).alias("c"), x["n"].alias("n"), x["k"].alias("k"), x["w"].alias("w"), x["h"].alias("h")))))
 
 
-def total(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + weight(k))
+def peel(cells: Column, size: Column, seed: int) -> Column:
+    """struct<cells, weight, stuck>: the weight of the keys recovered in rounds; a rest in cells tells of failure."""
+    start = F.struct(cells.alias("cells"), F.lit(0).cast("long").alias("weight"), F.lit(False).alias("stuck"))
+    pure = lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"], c["w"]) == c["h"])
 
+    def take(s: Column, got: Column) -> Column:
+        rest = added(F.concat(s["cells"], _entries(F.transform(got, lambda g: F.struct(g["k"].alias("k"), g["w"].alias("w"), (-g["n"]).alias("n"))), size, seed)))
+        return F.struct(rest.alias("cells"), (s["weight"] + F.aggregate(got, F.lit(0).cast("long"), lambda a, g: a + g["w"])).alias("weight"), (F.size(got) == 0).alias("stuck"))
 
-def with_likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
-    """Adds `name`: one minus the weight of the paragraphs that only one of the two key columns has over the weight of all.
+    def round_(s: Column, _: Column) -> Column:
+        found = F.array_distinct(F.transform(F.filter(s["cells"], pure), lambda c: F.struct(c["k"].alias("k"), c["w"].alias("w"), c["n"].alias("n"))))
+        return F.when(s["stuck"] | (F.size(s["cells"]) == 0), s).otherwise(F.transform(F.array(found), lambda got: take(s, got))[0])
 
-    a, b: columns of keys; their first sketches are in `<a>_cells` and `<b>_cells`.  A larger pair of sketches is made only
-    for rows whose smaller ones didn't peel; past the largest the key sets themselves are compared.
-    """
-    for k, size in enumerate(SIZES):
-        cells = subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")) if k == 0 else subtract(sketch(F.col(a), size), sketch(F.col(b), size))
-        if k == 0:
-            df = df.withColumn("_peeled", peel(cells, size)).withColumn("_found", F.when(_done(F.col("_peeled")), F.col("_peeled.found"))).drop("_peeled")
-            continue
-        # a sketch of so few cells can't hold more keys than cells
-        fits = F.abs(F.size(a) - F.size(b)) <= 3 * size
-        df = df.withColumn("_peeled", F.when(F.col("_found").isNull() & fits, peel(cells, size))).withColumn("_found", F.coalesce(F.col("_found"), F.when(_done(F.col("_peeled")), F.col("_peeled.found")))).drop("_peeled")
-    found = F.coalesce("_found", F.concat(F.array_except(a, b), F.array_except(b, a)))
-    everything = total(F.col(a)) + total(F.col(b))
-    return df.withColumn(name, F.greatest(F.lit(0.0), 1 - total(found) / everything)).drop("_found")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
 
 
-def written(keys: Column, cells: Column) -> Column:
-    """The fingerprint as text: the number of keys, their weight, and each cell's number, keys and checks."""
-    return F.concat_ws(";", F.size(keys).cast("string"), total(keys).cast("string"), F.array_join(F.transform(cells, lambda c: F.concat_ws(".", c["n"].cast("string"), F.lower(F.hex(c["k"])), F.lower(F.hex(c["h"])))), ","))
+def total(keys: Column) -> Column:
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a + x["w"])
 
 
-def with_next(docs: DataFrame, block: int = 1024) -> DataFrame:
-    """doc_id, text, next_text: each document with the next one's text in the order of doc_id (after the last: the first).
+def with_likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """Adds `name`: one minus the weight of the paragraphs that only one of two fingerprints has over the weight of all; and
+    `<name>_tries`: how many pairs of sketches it took (RETRIES + 2: the keys themselves).
 
-    Documents meet in blocks of `block` ids; the first document of each block also stands at the end of the block before it
-    that has any, so a window over each block is enough.  Which block comes next is found the same way among blocks.
+    a, b: prefixes of columns `<a>_keys`, `<a>_size`, `<a>_cells`.  The first try subtracts the fingerprints' own sketches, the
+    larger one folded to the size of the smaller; the first retry takes sketches with room for the keys of both, each further
+    one twice the cells, with other places.  What no try peels, about one pair in a million, is settled by the keys.
+    """
+    least, both = F.least(f"{a}_size", f"{b}_size"), sketch_size(F.size(f"{a}_keys") + F.size(f"{b}_keys"))
+    same = F.col(f"{a}_keys") == F.col(f"{b}_keys")
+    differ = added(F.concat(folded(F.col(f"{a}_cells"), F.col(f"{a}_size"), least), negated(folded(F.col(f"{b}_cells"), F.col(f"{b}_size"), least))))
+    df = df.withColumn("_peeled", F.when(same, F.lit(None)).otherwise(peel(differ, least, 0)))
+    done = lambda: F.when(F.size("_peeled.cells") == 0, F.col("_peeled.weight"))
+    df = df.withColumn("_found", F.when(same, F.lit(0).cast("long")).otherwise(done())).withColumn("_tries", F.lit(1))
+    for k in range(1, RETRIES + 1):
+        size = both * 2 ** (k - 1)
+        cells = added(F.concat(_signed(F.col(f"{a}_keys"), size, k, 1), _signed(F.col(f"{b}_keys"), size, k, -1)))
+        df = df.withColumn("_peeled", F.when(F.col("_found").isNull(), peel(cells, size, k)))
+        df = df.withColumn("_tries", F.when(F.col("_found").isNull(), k + 1).otherwise(F.col("_tries"))).withColumn("_found", F.coalesce("_found", done()))
+    rest = total(F.array_except(f"{a}_keys", f"{b}_keys")) + total(F.array_except(f"{b}_keys", f"{a}_keys"))
+    everything = total(F.col(f"{a}_keys")) + total(F.col(f"{b}_keys"))
+    shown = F.greatest(F.lit(0.0), 1 - F.coalesce("_found", rest) / everything)
+    return df.withColumns({name: shown, f"{name}_tries": F.when(F.col("_found").isNull(), RETRIES + 2).otherwise(F.col("_tries"))}).drop("_found", "_peeled", "_tries")
+
+
+def _signed(keys: Column, size: Column, seed: int, sign: int) -> Column:
+    return _entries(F.transform(keys, lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), F.lit(sign).alias("n"))), size, seed)
+
+
+def written(keys: Column, size: Column, cells: Column) -> Column:
+    """The fingerprint as text: the number of keys, their weight, the cells of a part, and each cell that isn't empty (its
+    place, number, keys, lengths and checks, in hexadecimal but for the number)."""
+    hex_ = lambda c: F.lower(F.hex(c))
+    one = lambda x: F.concat_ws(".", hex_(x["c"]), x["n"].cast("string"), hex_(x["k"]), hex_(x["w"]), hex_(x["h"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+    return F.concat_ws(";", F.size(keys).cast("string"), total(keys).cast("string"), size.cast("string"), F.array_join(F.transform(cells, one), ","))
+
+
+def next_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, next_id, next_tag: each distinct document (doc_id and the hash of its text) with the one that follows it by
+    doc_id and tag; after the last: the first.  A null doc_id is before all others.
+
+    Ids alone are dealt into ranges of about equal numbers, whatever they are; the window over a range knows all but the last
+    one's follower, which is the head of the next range.  There are as many heads as ranges.
     """
-    own = docs.withColumn("_b", F.floor(F.col("doc_id") / block))
-    heads = own.groupBy("_b").agg(F.min("doc_id").alias("_head")).withColumn("_s", F.floor(F.col("_b") / block))
-    tops = heads.groupBy("_s").agg(F.min(F.struct("_b", "_head")).alias("_top"))
-    after = tops.withColumn("_after", F.lead("_top").over(Window.orderBy("_s")))
-    first = tops.agg(F.min("_top").alias("_first"))
-    after = after.crossJoin(F.broadcast(first)).select("_s", F.coalesce("_after._head", "_first._head").alias("_next_super"))  # one row on one side
-    follow = heads.withColumn("_in", F.lead("_head").over(Window.partitionBy("_s").orderBy("_b"))).join(after, "_s").select("_b", F.coalesce("_in", "_next_super").alias("doc_id"))
-    guests = docs.join(follow, "doc_id").withColumn("_guest", F.lit(1))
-    order = Window.partitionBy("_b").orderBy("_guest", "doc_id", F.xxhash64("text"), "text")
-    return own.withColumn("_guest", F.lit(0)).unionByName(guests).withColumn("next_text", F.lead("text").over(order)).where("_guest = 0").select("doc_id", "text", "next_text")
+    ids = docs.select("doc_id", "tag").distinct().repartitionByRange("doc_id", "tag").withColumn("range", F.spark_partition_id())
+    ids = materialise(ids, "ranges")
+    heads = ids.groupBy("range").agg(F.min(F.struct("doc_id", "tag")).alias("head"))
+    every = Window.orderBy("range")
+    after = heads.select("range", F.coalesce(F.lead("head").over(every), F.first("head").over(every)).alias("after"))
+    own = Window.partitionBy("range").orderBy("doc_id", "tag")
+    follow = ids.join(after, "range").withColumn("f", F.coalesce(F.lead(F.struct("doc_id", "tag")).over(own), F.col("after")))
+    return follow.select("doc_id", "tag", F.col("f.doc_id").alias("next_id"), F.col("f.tag").alias("next_tag"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """The fingerprints of all documents and of their edited texts, and their likenesses.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  The edited text has the last
-    quarter of the code points replaced by the first ones of the next document.  A null text counts as empty; documents that
-    share a doc_id follow each other in the order of their texts' hashes; a single document is its own next; other columns
-    are ignored; an empty table gives an empty result.
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and how many tries each likeness
+    took.  The edited text has the last quarter of the code points replaced by the first ones of the next document.  A null
+    text counts as empty; a null doc_id comes before all others; documents that share a doc_id follow each other in the order
+    of their texts' hashes; rows that share both are one document and get equal rows; a single document is its own next; other
+    columns are ignored; an empty table gives an empty result.
     """
-    rows = with_next(texts(docs))
-    quarter = F.floor(F.length("text") / 4).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.length("text") - quarter), F.substr("next_text", F.lit(1), quarter)))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), paragraph_keys(F.col("text")).alias("own"), paragraph_keys(F.col("edited")).alias("other"), paragraph_keys(F.col("next_text")).alias("next"))
-    rows = rows.withColumns({f"{c}_cells": sketch(F.col(c), SIZES[0]) for c in ("own", "other", "next")})
-    rows = with_likeness(with_likeness(rows, "near_edited", "own", "other"), "near_next", "own", "next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("own"), F.col("own_cells")).alias("fingerprint"), written(F.col("other"), F.col("other_cells")).alias("edited_fingerprint"), "near_edited", "near_next")
+    id_ = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))  # so that null ids join
+    rows = texts(docs).select("doc_id", id_.alias("id"), F.xxhash64("text").alias("tag"), "text", paragraph_keys(F.col("text")).alias("own_keys"))
+    n = F.length("text")
+    chain = materialise(next_documents(rows.select(F.col("id").alias("doc_id"), "tag")), "follow")
+    lengths = rows.select("id", "tag", F.floor(n / 4).cast("int").alias("need")).distinct()
+    sought = chain.join(lengths.withColumnRenamed("id", "doc_id"), ["doc_id", "tag"]).select(F.col("next_id").alias("id"), F.col("next_tag").alias("tag"), F.col("doc_id").alias("to_id"), F.col("tag").alias("to_tag"), "need")
+    sought = materialise(sought, "sought")
+    sent = rows.join(sought, ["id", "tag"]).select("to_id", "to_tag", F.substr("text", F.lit(1), F.col("need")).alias("start"), F.col("own_keys").alias("next_keys"))
+    sent = sent.dropDuplicates(["to_id", "to_tag"]).select(F.col("to_id").alias("id"), F.col("to_tag").alias("tag"), "start", "next_keys")
+    got = rows.join(sent, ["id", "tag"])
+    quarter = F.floor(n / 4).cast("int")
+    got = got.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - quarter), "start").alias("edited"), "own_keys", "next_keys")
+    got = got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own_keys", paragraph_keys(F.col("edited")).alias("edited_keys"), "next_keys")
+    sides = ("own", "edited", "next")
+    got = got.withColumns({f"{c}_size": sketch_size(F.size(f"{c}_keys")) for c in sides})
+    got = got.withColumns({f"{c}_cells": sketch(F.col(f"{c}_keys"), F.col(f"{c}_size")) for c in sides})
+    got = with_likeness(with_likeness(got, "near_edited", "own", "edited"), "near_next", "own", "next")
+    show = lambda c: written(F.col(f"{c}_keys"), F.col(f"{c}_size"), F.col(f"{c}_cells"))
+    return got.select("doc_id", "n_chars", "edited_sha256", show("own").alias("fingerprint"), show("edited").alias("edited_fingerprint"), "near_edited", "near_next", "near_edited_tries", "near_next_tries")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
