@@ -1,11 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.  DataFrame functions only.
 
-A paragraph is a sentence of a line (or a piece of a very long one), so that an edit costs only its surroundings.  Each distinct paragraph is one key: a 64-bit hash with the paragraph's
-length.  A key is added to one cell in each of three parts of the sketch; a cell holds the number, and the XOR of the keys, of
-their lengths and of their check hashes.  A sketch is kept as its cells that aren't empty, in order, so that adding, subtracting
-and peeling are each a sort and a pass.  Subtracting two sketches cancels what the texts share, and peeling (a cell with one key
-gives it away and lets it be taken from its other cells) recovers the keys that differ.  Where cells are left over, both sketches
-are made anew with twice the cells.
+A paragraph is a line; a line of more than LONG characters is cut at places that its own words decide, so that an edit costs
+only its surroundings.  Each distinct paragraph is one key, a 64-bit hash.  A key is added to one cell in each of three parts of
+the sketch; a cell holds the number, the XOR of the keys and the XOR of their check hashes.  A sketch is kept as a row for each
+cell that isn't empty, so that adding, subtracting and peeling are aggregates.  Subtracting two sketches cancels what the texts
+share, and peeling (a cell with one key gives it away and lets it be taken from its other cells) recovers the
+keys that differ.  Where cells are left over, both sketches are made anew with twice the cells.
 """
 
 from __future__ import annotations
@@ -13,21 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import materialise, table, texts
+from tracklight.llm.common import materialise, release, table, texts
 
-#: Cells in each part of the smallest sketch, cells for each key, and how often a pair of sketches is made larger.
-LEAST, ROOM, RETRIES, ROUNDS = 8, 1.5, 4, 24
-_CUT = r"\n|(?<=[.!?;:。！？；][\x20\x09])|(?<=[。！？；])"
-#: Where what has no sentence ends for LONG characters is cut: before words with one of these letters, and within words of
-#: scripts without spaces.
-LONG, _CUT_LONG = 240, r"(?<=[\x20\x09])(?=[bdfhmpvBDFHMPV0-4\u0411-\u0416\u0431-\u0436])|(?<=[\u4e00-\u50ff\u3040-\u3050])"
-_CELL = "array<struct<c: bigint, n: int, k: bigint, w: bigint, h: int>>"
+#: Cells in each part of the smallest sketch, cells for each key, how often a pair of sketches is made larger, peeling rounds.
+LEAST, ROOM, RETRIES, ROUNDS = 8, 3, 4, 8
+#: Lines longer than this are cut before words with one of these first two letters, and within words of scripts without spaces.
+LONG, _CUT = 360, r"(?<=[\x20\x09])(?=[bdfhmpvBDFHMPV0-4\u0411-\u0416\u0431-\u0436][aeio0-9\u0430-\u0438])|(?<=[\u4e00-\u507f\u3040-\u3048])"
 
 
 def paragraph_keys(text: Column) -> Column:
-    """The distinct paragraphs as array<struct<k hash, w length>>, sorted."""
-    pieces = F.flatten(F.transform(F.split(text, _CUT), lambda p: F.when(F.length(p) > LONG, F.split(p, _CUT_LONG)).otherwise(F.array(p))))
-    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.struct(F.xxhash64(p).alias("k"), (F.length(p) + 1).cast("long").alias("w")))))
+    """The distinct paragraphs' hashes, sorted."""
+    pieces = F.flatten(F.transform(F.split(text, "\n"), lambda p: F.when(F.length(p) > LONG, F.split(p, _CUT)).otherwise(F.array(p))))
+    return F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
 def sketch_size(n_keys: Column) -> Column:
@@ -36,104 +33,75 @@ def sketch_size(n_keys: Column) -> Column:
     return F.greatest(F.pow(F.lit(2), F.length(F.bin(need - 1))).cast("long"), F.lit(LEAST).cast("long"))
 
 
-def _check(k: Column, w: Column) -> Column:
-    return F.hash(k, w)
+def _place(k: Column, j: int, size: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(k, F.lit(3 * seed + j)), size) + j * size
 
 
-def _entries(keys: Column, size: Column, seed: int) -> Column:
-    """A cell for each key and part; keys: array<struct<k, w, n>>."""
+def _cells(entries: DataFrame, by: list[str]) -> DataFrame:
+    """Entries (c, n, k, h) of the same cell summed, without cells that come to nothing.  Rows of a document stand in one
+    partition, so nothing is shuffled."""
+    return entries.groupBy(*by, "size", "c").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where("n <> 0 or k <> 0 or h <> 0")
 
-    def places(x: Column) -> Column:
-        h = F.xxhash64(x["k"], x["w"], F.lit(f"place{seed}"))
-        return F.transform(F.array(*(F.lit(j) for j in range(3))), lambda j: F.struct((F.pmod(F.xxhash64(h, j), size) + j * size).alias("c"), x["n"].alias("n"), x["k"].alias("k"), x["w"].alias("w"), _check(x["k"], x["w"]).alias("h")))
 
-    return F.flatten(F.transform(keys, places))
+def sketches(keys: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
+    """by, size, c, n, k, h: the cells of the sum of each group's keys; keys: by, size, k, n (1 or, to subtract, -1)."""
+    each = F.explode(F.array(*(_place(F.col("k"), j, F.col("size"), seed) for j in range(3))))
+    return _cells(keys.select(*by, "size", each.alias("c"), "n", "k", F.hash("k").alias("h")), by)
 
 
-def added(entries: Column) -> Column:
-    """Entries of the same cell summed, in the order of cells, without cells that come to nothing."""
-    zero = F.struct(F.lit(-1).cast("long").alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("h"))
-    start = F.struct(zero.alias("at"), F.array().cast(_CELL).alias("done"))
-    some = lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0) | (x["w"] != 0)
-    closed = lambda s: F.when((s["at"]["c"] >= 0) & some(s["at"]), F.concat(s["done"], F.array(s["at"]))).otherwise(s["done"])
+def peeled(cells: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """by, found (keys recovered), failed (cells are left over).
 
-    def step(s: Column, e: Column) -> Column:
-        a = s["at"]
-        both = F.struct(a["c"].alias("c"), (a["n"] + e["n"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["w"].bitwiseXOR(e["w"]).alias("w"), a["h"].bitwiseXOR(e["h"]).alias("h"))
-        return F.when(a["c"] == e["c"], F.struct(both.alias("at"), s["done"].alias("done"))).otherwise(F.struct(e.alias("at"), closed(s).alias("done")))
-
-    return F.aggregate(F.array_sort(entries), start, step, closed)
-
-
-def sketch(keys: Column, size: Column, seed: int = 0, sign: int = 1) -> Column:
-    return added(_entries(F.transform(keys, lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), F.lit(sign).alias("n"))), size, seed))
-
-
-def negated(cells: Column) -> Column:
-    return F.transform(cells, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["w"].alias("w"), x["h"].alias("h")))
-
-
-def folded(cells: Column, old: Column, new: Column) -> Column:
-    """A sketch with parts of `old` cells as the one with parts of `new` cells, a divisor."""
-    place = lambda c: F.pmod(F.pmod(c, old), new) + F.floor(c / old).cast("long") * new
-    return F.when(old == new, cells).otherwise(added(F.transform(cells, lambda x: F.struct(place(x["c"]).alias("c"), x["n"].alias("n"), x["k"].alias("k"), x["w"].alias("w"), x["h"].alias("h")))))
-
-
-def peel(cells: Column, size: Column, seed: int) -> Column:
-    """struct<cells, weight, stuck>: the weight of the keys recovered in rounds; a rest in cells tells of failure."""
-    start = F.struct(cells.alias("cells"), F.lit(0).cast("long").alias("weight"), F.lit(False).alias("stuck"))
-    pure = lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"], c["w"]) == c["h"])
-
-    def take(s: Column, got: Column) -> Column:
-        rest = added(F.concat(s["cells"], _entries(F.transform(got, lambda g: F.struct(g["k"].alias("k"), g["w"].alias("w"), (-g["n"]).alias("n"))), size, seed)))
-        return F.struct(rest.alias("cells"), (s["weight"] + F.aggregate(got, F.lit(0).cast("long"), lambda a, g: a + g["w"])).alias("weight"), (F.size(got) == 0).alias("stuck"))
-
-    def round_(s: Column, _: Column) -> Column:
-        found = F.array_distinct(F.transform(F.filter(s["cells"], pure), lambda c: F.struct(c["k"].alias("k"), c["w"].alias("w"), c["n"].alias("n"))))
-        return F.when(s["stuck"] | (F.size(s["cells"]) == 0), s).otherwise(F.transform(F.array(found), lambda got: take(s, got))[0])
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
+    In turn each part's cells of one key give it away; it is taken from its cells in the other two parts.  A key has one cell
+    in a part, so it is never taken twice.  Cell -1 counts what has been found.
+    """
+    k, size = F.col("k"), F.col("size")
+    at = lambda c, n, k, h: F.struct(c.alias("c"), n.alias("n"), k.alias("k"), h.alias("h"))
+    for _ in range(ROUNDS):
+        for j in range(3):
+            pure = (F.abs("n") == 1) & (F.hash("k") == F.col("h")) & (F.col("c") == _place(k, j, size, seed))
+            others = [at(_place(k, i, size, seed), -F.col("n"), k, F.col("h")) for i in range(3) if i != j]
+            one = at(F.lit(-1).cast("long"), F.lit(1), F.lit(0).cast("long"), F.lit(0))
+            moves = F.when(pure, F.array(one, *others)).otherwise(F.array(at(F.col("c"), F.col("n"), k, F.col("h"))))
+            cells = _cells(cells.select(*by, "size", F.inline(moves)), by)
+    return cells.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("c") < 0, F.col("n"))), F.lit(0)).alias("found"), (F.max("c") >= 0).alias("failed"))
+
+
+def written(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by and the fingerprint as text: the cells of a part, then each cell that isn't empty (place, number, keys and checks, in
+    hexadecimal but for the number)."""
+    hex_ = lambda c: F.lower(F.hex(c))
+    one = lambda x: F.concat_ws(".", hex_(x["c"]), x["n"].cast("string"), hex_(x["k"]), hex_(x["h"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+    rows = cells.groupBy(*by).agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "n", "k", "h"))).alias("cells"))
+    return rows.select(*by, F.concat_ws(";", F.col("size").cast("string"), F.array_join(F.transform("cells", one), ",")).alias("fingerprint"))
 
 
-def total(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a + x["w"])
+PAIRS = ("edited", "next")
 
 
-def with_likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
-    """Adds `name`: one minus the weight of the paragraphs that only one of two fingerprints has over the weight of all; and
-    `<name>_tries`: how many pairs of sketches it took (RETRIES + 2: the keys themselves).
+def likenesses(docs: DataFrame) -> DataFrame:
+    """id, tag, pair (of PAIRS), found (paragraphs that only one of the two has) and tries (how many pairs of sketches it took;
+    RETRIES + 2: the keys themselves).  docs: id, tag, own_keys, edited_keys, next_keys.
 
-    a, b: prefixes of columns `<a>_keys`, `<a>_size`, `<a>_cells`.  The first try subtracts the fingerprints' own sketches, the
-    larger one folded to the size of the smaller; the first retry takes sketches with room for the keys of both, each further
-    one twice the cells, with other places.  What no try peels, about one pair in a million, is settled by the keys.
+    The first try subtracts the fingerprints' own sketches, the larger one as folded to the size of the smaller (a cell's place
+    in it is the rest of its place in the larger).  The first retry takes sketches with room for the keys of both, each further
+    one twice the cells, with other places; only pairs that failed are tried again.  What no try peels is settled by the keys.
     """
-    least, both = F.least(f"{a}_size", f"{b}_size"), sketch_size(F.size(f"{a}_keys") + F.size(f"{b}_keys"))
-    same = F.col(f"{a}_keys") == F.col(f"{b}_keys")
-    differ = added(F.concat(folded(F.col(f"{a}_cells"), F.col(f"{a}_size"), least), negated(folded(F.col(f"{b}_cells"), F.col(f"{b}_size"), least))))
-    df = df.withColumn("_peeled", F.when(same, F.lit(None)).otherwise(peel(differ, least, 0)))
-    done = lambda: F.when(F.size("_peeled.cells") == 0, F.col("_peeled.weight"))
-    df = df.withColumn("_found", F.when(same, F.lit(0).cast("long")).otherwise(done())).withColumn("_tries", F.lit(1))
-    for k in range(1, RETRIES + 1):
-        size = both * 2 ** (k - 1)
-        cells = added(F.concat(_signed(F.col(f"{a}_keys"), size, k, 1), _signed(F.col(f"{b}_keys"), size, k, -1)))
-        df = df.withColumn("_peeled", F.when(F.col("_found").isNull(), peel(cells, size, k)))
-        df = df.withColumn("_tries", F.when(F.col("_found").isNull(), k + 1).otherwise(F.col("_tries"))).withColumn("_found", F.coalesce("_found", done()))
-    rest = total(F.array_except(f"{a}_keys", f"{b}_keys")) + total(F.array_except(f"{b}_keys", f"{a}_keys"))
-    everything = total(F.col(f"{a}_keys")) + total(F.col(f"{b}_keys"))
-    shown = F.greatest(F.lit(0.0), 1 - F.coalesce("_found", rest) / everything)
-    return df.withColumns({name: shown, f"{name}_tries": F.when(F.col("_found").isNull(), RETRIES + 2).otherwise(F.col("_tries"))}).drop("_found", "_peeled", "_tries")
-
-
-def _signed(keys: Column, size: Column, seed: int, sign: int) -> Column:
-    return _entries(F.transform(keys, lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), F.lit(sign).alias("n"))), size, seed)
-
-
-def written(keys: Column, size: Column, cells: Column) -> Column:
-    """The fingerprint as text: the number of keys, their weight, the cells of a part, and each cell that isn't empty (its
-    place, number, keys, lengths and checks, in hexadecimal but for the number)."""
-    hex_ = lambda c: F.lower(F.hex(c))
-    one = lambda x: F.concat_ws(".", hex_(x["c"]), x["n"].cast("string"), hex_(x["k"]), hex_(x["w"]), hex_(x["h"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    return F.concat_ws(";", F.size(keys).cast("string"), total(keys).cast("string"), size.cast("string"), F.array_join(F.transform(cells, one), ","))
+    by, done = ["id", "tag", "pair"], None
+    pairs = F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), F.col(f"{p}_keys").alias("other")) for p in PAIRS)))
+    todo = docs.select("id", "tag", F.col("own_keys").alias("own"), pairs.alias("x")).select("id", "tag", "x.pair", "own", "x.other").where("own <> other")
+    for k in range(RETRIES + 1):
+        size = F.least(sketch_size(F.size("own")), sketch_size(F.size("other"))) if k == 0 else sketch_size(F.size("own") + F.size("other")) * 2 ** (k - 1)
+        signed = F.concat(F.transform("own", lambda x: F.struct(x.alias("k"), F.lit(1).alias("n"))), F.transform("other", lambda x: F.struct(x.alias("k"), F.lit(-1).alias("n"))))
+        keys = todo.repartition("id", "tag").select(*by, size.alias("size"), F.inline(signed))
+        tried = materialise(peeled(sketches(keys, by, k), by, k), "peeled")
+        good = tried.where("not failed").select(*by, "found", F.lit(k + 1).alias("tries"))
+        done = good if done is None else done.unionByName(good)
+        todo = todo.join(tried.where("failed").select(*by), by, "left_semi")
+        if k and tried.where("failed").isEmpty():
+            return done
+    rest = todo.select(*by, (F.size(F.array_except("own", "other")) + F.size(F.array_except("other", "own"))).cast("long").alias("found"), F.lit(RETRIES + 2).alias("tries"))
+    return done.unionByName(rest)
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
@@ -163,7 +131,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     id_ = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))  # so that null ids join
-    rows = texts(docs).select("doc_id", id_.alias("id"), F.xxhash64("text").alias("tag"), "text", paragraph_keys(F.col("text")).alias("own_keys"))
+    rows = texts(docs).select(id_.alias("id"), F.xxhash64("text").alias("tag"), "text", paragraph_keys(F.col("text")).alias("own_keys"))
     n = F.length("text")
     chain = materialise(next_documents(rows.select(F.col("id").alias("doc_id"), "tag")), "follow")
     lengths = rows.select("id", "tag", F.floor(n / 4).cast("int").alias("need")).distinct()
@@ -173,14 +141,20 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     sent = sent.dropDuplicates(["to_id", "to_tag"]).select(F.col("to_id").alias("id"), F.col("to_tag").alias("tag"), "start", "next_keys")
     got = rows.join(sent, ["id", "tag"])
     quarter = F.floor(n / 4).cast("int")
-    got = got.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - quarter), "start").alias("edited"), "own_keys", "next_keys")
-    got = got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own_keys", paragraph_keys(F.col("edited")).alias("edited_keys"), "next_keys")
+    got = got.select("id", "tag", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - quarter), "start").alias("edited"), "own_keys", "next_keys")
+    got = got.select("id", "tag", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own_keys", paragraph_keys(F.col("edited")).alias("edited_keys"), "next_keys")
     sides = ("own", "edited", "next")
-    got = got.withColumns({f"{c}_size": sketch_size(F.size(f"{c}_keys")) for c in sides})
-    got = got.withColumns({f"{c}_cells": sketch(F.col(f"{c}_keys"), F.col(f"{c}_size")) for c in sides})
-    got = with_likeness(with_likeness(got, "near_edited", "own", "edited"), "near_next", "own", "next")
-    show = lambda c: written(F.col(f"{c}_keys"), F.col(f"{c}_size"), F.col(f"{c}_cells"))
-    return got.select("doc_id", "n_chars", "edited_sha256", show("own").alias("fingerprint"), show("edited").alias("edited_fingerprint"), "near_edited", "near_next", "near_edited_tries", "near_next_tries")
+    docs = materialise(got, "paragraphs")
+    release(chain, sought)
+    like = materialise(likenesses(docs).groupBy("id", "tag").pivot("pair", list(PAIRS)).agg(F.max("found").alias("found"), F.max("tries").alias("tries")), "likeness")
+    by = ["id", "tag", "version"]
+    versions = F.explode(F.array(*(F.struct(F.lit(v).alias("version"), F.col(f"{v}_keys").alias("keys")) for v in ("own", "edited"))))
+    keys = docs.repartition("id", "tag").select("id", "tag", versions.alias("x")).select("id", "tag", "x.version", sketch_size(F.size("x.keys")).alias("size"), F.explode("x.keys").alias("k"), F.lit(1).alias("n"))
+    prints = written(sketches(keys.distinct(), by), by).groupBy("id", "tag").agg(*(F.max(F.when(F.col("version") == v, F.col("fingerprint"))).alias(v) for v in ("own", "edited")))
+    shown = docs.join(prints, ["id", "tag"]).join(like, ["id", "tag"], "left")
+    near = lambda p: F.greatest(F.lit(0.0), 1 - F.coalesce(f"{p}_found", F.lit(0)) / (F.size("own_keys") + F.size(f"{p}_keys")))
+    tries = lambda p: F.coalesce(f"{p}_tries", F.lit(0))
+    return shown.select(F.nullif("id", F.lit(-(2**63))).alias("doc_id"), "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next").alias("near_next"), tries("edited").alias("near_edited_tries"), tries("next").alias("near_next_tries"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
