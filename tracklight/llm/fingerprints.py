@@ -17,8 +17,9 @@ from tracklight.llm.common import materialise, release, table, texts
 
 #: Cells in each part of the smallest sketch, cells for each key, how often a pair of sketches is made larger, peeling rounds.
 LEAST, ROOM, RETRIES, ROUNDS = 8, 3, 4, 8
-#: Lines longer than this are cut before words with one of these first two letters, and within words of scripts without spaces.
-LONG, _CUT = 360, r"(?<=[\x20\x09])(?=[bdfhmpvBDFHMPV0-4\u0411-\u0416\u0431-\u0436][aeio0-9\u0430-\u0438])|(?<=[\u4e00-\u507f\u3040-\u3048])"
+#: Lines longer than this are cut before words with one of these first two letters, before sentences with one of these first
+#: letters, and within words of scripts without spaces.
+LONG, _CUT = 120, r"(?<=[\x20\x09])(?=[bfmpvBFMPV0-2\u0411\u0412\u0431\u0432][aeio0-9\u0430-\u0438])|(?<=[.!?][\x20\x09])(?=[ACEHLORT])|(?<=[\u4e00-\u503f\u3040-\u3044])"
 
 
 def paragraph_keys(text: Column) -> Column:

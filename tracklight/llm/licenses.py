@@ -66,11 +66,16 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 _COMMON = "(?i)licen|permission|software"
 
 
+#: A copyright line begins with the word or the mark and has a mark, a year or a place for one.
+_RIGHTS = r"(?m)^[^\p{L}\p{N}\n]*(copyright[^\p{L}\p{N}\n]*(\(c\)|©|[0-9]{4}|\(?(year|yyyy)\b)|(\(c\)|©))[^\n]*"
+_NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, without lines that begin with a copyright mark, letters and digits alone, one space between words, one
+    """Lower case, without copyright lines, letters (of any script), marks and digits alone, one space between words, one
     spelling for equivalent ones, between two spaces."""
-    c = F.regexp_replace(F.lower(text), r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", " ")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^a-z0-9ß-ɏ]+", " ")), F.lit(" "))
+    c = F.regexp_replace(F.lower(text), _RIGHTS, " ")
+    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, _NO_WORD, " ")), F.lit(" "))
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
     return c
@@ -108,8 +113,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(x: str) -> str:
-    c = f"regexp_replace(lower({x}), '(?m)^[^a-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*', ' ', 'g')"
-    c = f"' ' || trim(regexp_replace({c}, '[^a-z0-9\\x{{00df}}-\\x{{024f}}]+', ' ', 'g')) || ' '"
+    c = f"regexp_replace(lower({x}), '{_RIGHTS}', ' ', 'g')"
+    c = f"' ' || trim(regexp_replace({c}, '{_NO_WORD}', ' ', 'g')) || ' '"
     for a, b in SPELLINGS:
         c = f"replace({c}, ' {a} ', ' {b} ')"
     return c

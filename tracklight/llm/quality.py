@@ -121,8 +121,8 @@ def calibrated(good: np.ndarray, bad: np.ndarray, least_kept: float) -> int:
 def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, least_kept: float = 0.98, bins: int = 2000) -> DataFrame:
     """doc_id, STATS, score (of the isolation forest), base_failed and kept for every document.
 
-    fit_rows bounds the sample of documents that the forest is fitted on: the well-labelled rows (quality 1) with the
-    smallest hashes of doc_id.  The threshold is calibrated on all labelled rows through a histogram of their scores.
+    fit_rows bounds the sample of documents that the forest is fitted on: well-labelled ones (quality 1) whose hash of doc_id is
+    below a threshold, one row for each doc_id.  The threshold is calibrated on all labelled rows through a histogram of their scores.
     A null text has no words and fails the base rules, as an empty one; repeated rows are judged row by row; other columns
     are ignored.  Without labels the forest rejects nothing.  Empty tables give empty results.
     """
@@ -130,8 +130,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, le
     stats = materialise(rule_stats(docs), "stats")
     label = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     passed = (F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))
-    known = stats.where(passed).join(label, "doc_id")
-    fit = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(fit_rows).select(*STATS).collect()
+    known = stats.where(passed).join(label.where("quality = 1"), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("s"))
+    share = 0.95 * fit_rows / max(known.count(), 1)  # the few rows that chance adds stay below fit_rows
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30)))
+    fit = sorted(chosen.select("s.*").limit(fit_rows).collect())
     if not fit:
         return stats.withColumns({"score": F.lit(0.0), "base_failed": ~passed, "kept": passed})
     shared = spark.sparkContext.broadcast(IsolationForest(features(np.array(fit, np.float64))))

@@ -170,36 +170,51 @@ def block_keys(bound: int) -> list[int]:
     return masks
 
 
-def hamming_links(points: DataFrame, bound: int = 4) -> DataFrame:
-    """u, v: links that connect all points(node long, fp long; distinct fp) whose patterns differ in at most `bound` bits.
+def rest_keys(mask: int, bound: int) -> list[int]:
+    """Masks of the bits outside `mask` in bound + 1 blocks."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    return [sum(1 << rest[j] for j in part) for part in _parts(range(len(rest)), bound + 1)]
+
+
+def hamming_links(points: DataFrame, bound: int = 4, most: int = 500_000) -> DataFrame:
+    """u, v: links that connect all points(fp long, distinct) whose patterns differ in at most `bound` bits.
 
     Each point goes once to each group of patterns that agree on a block pair, which leaves any group but one of truly
-    similar patterns small; groups of one are gone before anything is compared.  A group is searched in a Gray-order index,
-    and only a spanning forest of its links leaves the worker.
+    similar patterns small; groups of one are gone before anything is compared.  A group that is larger than `most` all the same
+    is dealt out once more by the blocks of its other bits, in which two of its patterns agree on one block again.  A group is
+    searched in a Gray-order index, and only a spanning forest of its links leaves the worker.
     """
     spark = points.sparkSession
     prepare(spark)
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_keys(bound)]
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks))))
-    keyed = points.select("node", "fp", keys.alias("key")).repartition("key").sortWithinPartitions("key")
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = block_keys(bound)
+    key = lambda i, m, *more: F.xxhash64(*more, F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m))))
+    keyed = points.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), key(i, m).alias("key")) for i, m in enumerate(masks)))).alias("x")).select("fp", "x.mask", "x.key")
+    if points.count() > most:  # else no group can be larger
+        large = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("large")), "large")
+        marked = keyed.join(large, "key", "left")
+        inner = F.array(*(F.when(F.col("mask") == i, F.array(*(key(j, m, F.col("key")) for j, m in enumerate(rest_keys(m0, bound))))) for i, m0 in enumerate(masks)))
+        own = F.when(F.col("large"), F.flatten(F.filter(inner, lambda x: x.isNotNull()))).otherwise(F.array("key"))
+        keyed = marked.select("fp", F.explode(own).alias("key"))
+    keyed = keyed.select("key", "fp").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         held: list[np.ndarray] = []
 
         def search(rows: np.ndarray):
-            key, node, fp = rows
+            key, fp = rows
             new = np.concatenate([[True], key[1:] != key[:-1]])
             group = np.cumsum(new) - 1
             many = np.bincount(group)[group] > 1
-            group, node, fp = group[many], node[many], fp[many].view(np.uint64)
+            group, fp = group[many], fp[many]
             for lo, hi in _blocks(group, 400_000):
-                a, b = GrayIndex(group[lo:hi], fp[lo:hi]).links(bound)
+                a, b = GrayIndex(group[lo:hi], fp[lo:hi].view(np.uint64)).links(bound)
                 root = forest(a, b, hi - lo)
                 at = np.flatnonzero(root != np.arange(hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][at]), pa.array(node[lo:hi][root[at]])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[lo:hi][at]), pa.array(fp[lo:hi][root[at]])], names=["u", "v"])
 
         for b in batches:
-            rows = np.stack([np.asarray(b.column(c)) for c in ("key", "node", "fp")])
+            rows = np.stack([np.asarray(b.column(c)) for c in ("key", "fp")])
             if not rows.shape[1]:
                 continue
             held.append(rows)
@@ -213,7 +228,7 @@ def hamming_links(points: DataFrame, bound: int = 4) -> DataFrame:
         if held:
             yield from search(np.concatenate(held, 1))
 
-    return keyed.select("key", "node", "fp").mapInArrow(run, "u long, v long").distinct()
+    return keyed.mapInArrow(run, "u long, v long").distinct()
 
 
 def _blocks(group: np.ndarray, most: int):
@@ -230,13 +245,15 @@ def near_duplicates(docs: DataFrame, bound: int = 4, width: int = 4) -> DataFram
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest reachable doc_id) of every document.
 
     Equal fingerprints are one point, so copies cost nothing beyond the first.  A null, empty or wordless text has the
-    fingerprint zero, linked like any other; repeated rows come back as often as they are given; other columns are ignored;
-    an empty table gives an empty result.
+    fingerprint zero, linked like any other; repeated rows come back as often as they are given; a null doc_id is no
+    component_id unless the component has no other; other columns are ignored; an empty table gives an empty result.
     """
     marked = materialise(fingerprints(docs, width), "fingerprints")
-    points = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    roots = components(hamming_links(points, bound))
-    ids = points.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    points = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    roots = materialise(components(hamming_links(points.select("fp"), bound)), "roots")
+    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -20,22 +20,6 @@ def terms(text: str) -> set[str]:
     return set(_words(text.lower()))
 
 
-def shared_terms(rows: pa.Table) -> tuple[list[int], list[set[str]]]:
-    """The order of the rows by doc_id (then terms) and their terms in that order, without those that fewer than three rows
-    have, which no model takes.  Rows share their strings, so that the driver holds each term once."""
-    known: dict[str, str] = {}
-    count: dict[str, int] = {}
-    lists = []
-    for x in rows.column("terms"):
-        own = [known.setdefault(t, t) for t in x.as_py()]
-        for t in own:
-            count[t] = count.get(t, 0) + 1
-        lists.append(own)
-    doc = rows.column("doc_id").to_pylist()
-    order = sorted(range(len(lists)), key=lambda i: (doc[i], lists[i]))
-    return order, [{t for t in lists[i] if count[t] >= 3} for i in order]
-
-
 @dataclass
 class LinearModel:
     """Logistic regression on presence of terms and on the probabilities of earlier categories."""
@@ -50,31 +34,29 @@ class LinearModel:
         return 1 / (1 + np.exp(-np.clip(z + earlier @ self.chain, -30, 30)))
 
 
-def choose_terms(sets: list[set[str]], y: np.ndarray, most: int) -> list[str]:
-    """The terms whose presence tells most about y (largest log-likelihood ratio), found in at least three rows."""
-    hits: dict[str, list[int]] = {}
-    for s, v in zip(sets, y, strict=True):
-        for t in s:
-            hits.setdefault(t, [0, 0])[int(v)] += 1
-    names = [t for t, c in hits.items() if sum(c) >= 3]
-    if not names:
-        return []
-    c = np.array([hits[t] for t in names], np.float64)
-    total = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
-    n, p = c.sum(1), total[1] / total.sum()
+def gains(with_term: np.ndarray, positive: np.ndarray, rows: float, total: float) -> np.ndarray:
+    """Log-likelihood ratio of terms: how many rows have each, how many positive ones; all rows and all positive ones."""
 
     def entropy(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
         q = np.clip(a / np.maximum(b, 1e-9), 1e-9, 1 - 1e-9)
         return b * (q * np.log(q) + (1 - q) * np.log(1 - q))
 
-    rest = total.sum() - n
-    gain = entropy(c[:, 1], n) + entropy(total[1] - c[:, 1], rest) - entropy(total[1], total.sum())
-    strong = np.flatnonzero(gain > 8)  # chance alone seldom gives as much
-    return [names[i] for i in sorted(strong, key=lambda i: (-gain[i], names[i]))[:most]] if 0 < p < 1 else []
+    return entropy(positive, with_term) + entropy(total - positive, rows - with_term) - entropy(total, rows)
+
+
+#: Terms that a model takes at most, rows that must have a term, and the gain that chance seldom gives.
+TERMS, SEEN, STRONG = 200, 3, 8
+
+
+def choose_terms(names: list[str], count: np.ndarray, positive: np.ndarray, rows: float, total: float) -> list[str]:
+    """The terms whose presence tells most about a category, best first."""
+    if not 0 < total < rows or not names:
+        return []
+    gain = np.where(count >= SEEN, gains(count, positive, rows, total), 0)
+    return [names[i] for i in sorted(np.flatnonzero(gain > STRONG), key=lambda i: (-gain[i], names[i]))[:TERMS]]
 
 
-def fit_linear(sets: list[set[str]], y: np.ndarray, earlier: np.ndarray, most: int = 200, rounds: int = 300) -> LinearModel:
-    names = choose_terms(sets, y, most)
+def fit_linear(names: list[str], sets: list[set[str]], y: np.ndarray, earlier: np.ndarray, rounds: int = 300) -> LinearModel:
     at = {t: i for i, t in enumerate(names)}
     x = np.zeros((len(sets), len(names) + earlier.shape[1]))
     for r, s in enumerate(sets):
@@ -89,20 +71,26 @@ def fit_linear(sets: list[set[str]], y: np.ndarray, earlier: np.ndarray, most: i
     return LinearModel({t: float(w[i]) for t, i in at.items()}, w[len(names) :], float(b))
 
 
-def fit_chain(sets: list[set[str]], targets: np.ndarray, folds: int = 5) -> list[LinearModel]:
+FOLDS = 5
+
+
+def fit_chain(sets: list[set[str]], fold: np.ndarray, targets: np.ndarray, names: list[str], counts: np.ndarray) -> list[LinearModel]:
     """One model per column of targets; each sees the earlier columns' probabilities, in training those that models fitted
-    without the row's fold gave."""
-    fold = np.arange(len(sets)) % folds
+    without the row's fold gave.  counts: for each term, fold and column (0: all rows) how many rows have it and are positive."""
     earlier, chain = np.zeros((len(sets), 0)), []
     for k in range(targets.shape[1]):
         y = targets[:, k].astype(np.float64)
-        chain.append(fit_linear(sets, y, earlier))
+
+        def fitted(inside: np.ndarray, c: np.ndarray, y=y, k=k, earlier=earlier) -> LinearModel:
+            chosen = choose_terms(names, c[:, 0], c[:, k + 1], len(inside), y[inside].sum())
+            return fit_linear(chosen, [sets[i] for i in inside], y[inside], earlier[inside])
+
+        chain.append(fitted(np.arange(len(sets)), counts.sum(1)))
         out = np.zeros(len(sets))
-        for f in range(folds):
+        for f in range(FOLDS):
             inside, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             if len(inside) and len(held):
-                m = fit_linear([sets[i] for i in inside], y[inside], earlier[inside])
-                out[held] = m.predict([sets[i] for i in held], earlier[held])
+                out[held] = fitted(inside, counts.sum(1) - counts[:, f]).predict([sets[i] for i in held], earlier[held])
         earlier = np.column_stack([earlier, out])
     return chain
 
@@ -111,11 +99,43 @@ def fit_chain(sets: list[set[str]], targets: np.ndarray, folds: int = 5) -> list
 CATEGORIES = ("poor", "toxic", "toxic_and_poor")
 
 
+def counted_terms(sample: DataFrame, targets: np.ndarray, fold: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The terms that any model of the chain may choose, and for each term and fold how many rows have it, in all and in each
+    category.  Terms are counted on Spark; only those among the best TERMS of a category, in all folds or without one, come back:
+    at most TERMS times the number of models."""
+    poor = 1 - F.col("quality")
+    kinds = (F.lit(1), poor, F.col("toxic"), F.col("toxic") * poor)
+    sums = [F.sum(F.when(F.col("fold") == f, kind).otherwise(0)).alias(f"n{f}_{k}") for f in range(FOLDS) for k, kind in enumerate(kinds)]
+    counts = materialise(sample.select("fold", "toxic", "quality", F.explode("terms").alias("term")).groupBy("term").agg(*sums).where(" + ".join(f"n{f}_0" for f in range(FOLDS)) + f" >= {SEEN}"), "terms")
+    wanted = []
+    for k in range(targets.shape[1]):
+        for left_out in (None, *range(FOLDS)):
+            inside = fold != left_out if left_out is not None else np.ones(len(fold), bool)
+            rows, total = float(inside.sum()), float(targets[inside, k].sum())
+            if not 0 < total < rows:
+                continue
+            n, p = (sum((F.col(f"n{f}_{c}") for f in range(FOLDS) if f != left_out), F.lit(0)).cast("double") for c in (0, k + 1))
+
+            def entropy(a, b):
+                q = F.greatest(F.least(a / F.greatest(b, F.lit(1e-9)), F.lit(1 - 1e-9)), F.lit(1e-9))
+                return b * (q * F.log(q) + (1 - q) * F.log(1 - q))
+
+            gain = entropy(p, n) + entropy(F.lit(total) - p, F.lit(rows) - n)
+            wanted.append(counts.select("term", gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(TERMS).select("term"))
+    if not wanted:
+        return [], np.zeros((0, FOLDS, 4))
+    chosen = wanted[0]
+    for w in wanted[1:]:
+        chosen = chosen.unionByName(w)
+    found = sorted(counts.join(chosen.distinct(), "term", "left_semi").collect(), key=lambda r: r["term"])
+    return [r["term"] for r in found], np.array([[[r[f"n{f}_{k}"] for k in range(4)] for f in range(FOLDS)] for r in found], np.float64).reshape(-1, FOLDS, 4)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, bins: int = 1000) -> DataFrame:
     """doc_id, one probability per category (p_poor, p_toxic, p_toxic_and_poor) and is_toxic for every document.
 
-    fit_rows bounds the labelled rows that the chain is fitted on (half of them toxic where there are enough): those with the
-    smallest hashes of doc_id.  Every text is then scored whole, and the threshold on p_toxic is the one with the best F1 over
+    fit_rows bounds the labelled documents that the chain is fitted on (half of them toxic where there are enough): those with
+    the smallest hashes of doc_id, one text for each; a model takes at most TERMS terms.  Every text is then scored whole, and the threshold on p_toxic is the one with the best F1 over
     all labelled rows, through a histogram.  A null text counts as empty; repeated rows are scored row by row; a document with
     several labels is toxic if one says so; other columns are ignored; without labels of both kinds nothing is toxic; an
     empty table gives an empty result.
@@ -127,18 +147,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, bins: in
     order = (F.xxhash64("doc_id"), "doc_id")
     pick = label.where("toxic = 1").orderBy(*order).limit(fit_rows // 2).unionByName(label.where("toxic = 0").orderBy(*order).limit(fit_rows - fit_rows // 2))
 
+    one = doc.join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"), F.min("quality").alias("quality"))
+
     def reduce_(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "quality")), pa.array([sorted(terms(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "toxic", "quality", "terms"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "quality", "fold")), pa.array([sorted(terms(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "toxic", "quality", "fold", "terms"])
 
-    found = doc.join(F.broadcast(pick), "doc_id").select("doc_id", "toxic", "quality", "text").mapInArrow(reduce_, "doc_id long, toxic int, quality int, terms array<string>")
-    fit = found.select("doc_id", "toxic", "quality", "terms").toArrow()
-    toxic, quality = (np.asarray(fit.column(c).to_pylist(), np.int64) for c in ("toxic", "quality"))
+    kept = one.select("doc_id", "toxic", "quality", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    sample = materialise(kept.mapInArrow(reduce_, "doc_id long, toxic int, quality int, fold int, terms array<string>"), "sample")
+    rows = sample.select("doc_id", "toxic", "quality", "fold").orderBy("doc_id").collect()
+    toxic, poor, fold = (np.array([f(r) for r in rows], np.int64) for f in (lambda r: r["toxic"], lambda r: 1 - r["quality"], lambda r: r["fold"]))
     if len(np.unique(toxic)) < 2:
         return doc.select("doc_id", *(F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES), F.lit(False).alias("is_toxic"))
-    order_, sets = shared_terms(fit)
-    toxic, poor = toxic[order_], 1 - quality[order_]
-    shared = spark.sparkContext.broadcast(fit_chain(sets, np.stack([poor, toxic, toxic * poor], 1)))
+    targets = np.stack([poor, toxic, toxic * poor], 1)
+    named, counts = counted_terms(sample, targets, fold)
+    position = {t: i for i, t in enumerate(named)}
+    sets: list[set[str]] = []
+    for r in sample.select("doc_id", F.array_intersect("terms", F.array(*map(F.lit, named)).cast("array<string>")).alias("terms")).orderBy("doc_id").collect():
+        sets.append({named[position[t]] for t in r["terms"]})
+    shared = spark.sparkContext.broadcast(fit_chain(sets, fold, targets, named, counts))
 
     def run(batches):
         for b in batches:
