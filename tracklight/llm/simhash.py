@@ -36,15 +36,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long)."""
+    """doc_id, tag (a hash of the text) and fp (the fingerprint's 64 bits as a long)."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(fp)], names=["doc_id", "tag", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).withColumn("tag", F.xxhash64("text")).mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -242,19 +242,21 @@ def _blocks(group: np.ndarray, most: int):
 
 
 def near_duplicates(docs: DataFrame, bound: int = 4, width: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest reachable doc_id) of every document.
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest reachable doc_id), tag (a hash of the text, as empty if
+    null) and stays (whether the row's doc_id and tag are the first of its component) of every document.
 
     Equal fingerprints are one point, so copies cost nothing beyond the first.  A null, empty or wordless text has the
     fingerprint zero, linked like any other; repeated rows come back as often as they are given; a null doc_id is no
     component_id unless the component has no other; other columns are ignored; an empty table gives an empty result.
     """
     marked = materialise(fingerprints(docs, width), "fingerprints")
-    points = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    points = materialise(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")), "points")
     roots = materialise(components(hamming_links(points.select("fp"), bound)), "roots")
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    ids = rooted.join(least, "root").select("fp", "least")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tag") == F.col("least.tag"))
+    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"), "tag", stays.alias("stays"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,8 @@ def counted_terms(sample: DataFrame, targets: np.ndarray, fold: np.ndarray) -> t
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, bins: int = 1000) -> DataFrame:
-    """doc_id, one probability per category (p_poor, p_toxic, p_toxic_and_poor) and is_toxic for every document.
+    """doc_id, tag (a hash of the text, as empty if null), one probability per category (p_poor, p_toxic, p_toxic_and_poor) and
+    is_toxic for every document.
 
     fit_rows bounds the labelled documents that the chain is fitted on (half of them toxic where there are enough): those with
     the smallest hashes of doc_id, one text for each; a model takes at most TERMS terms.  Every text is then scored whole, and the threshold on p_toxic is the one with the best F1 over
@@ -142,7 +143,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, bins: in
     """
     spark = docs.sparkSession
     prepare(spark)
-    doc = texts(docs)
+    doc = texts(docs).withColumn("tag", F.xxhash64("text"))
     label = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.min(F.coalesce(F.col("quality"), F.lit(1))).cast("int").alias("quality"))
     order = (F.xxhash64("doc_id"), "doc_id")
     pick = label.where("toxic = 1").orderBy(*order).limit(fit_rows // 2).unionByName(label.where("toxic = 0").orderBy(*order).limit(fit_rows - fit_rows // 2))
@@ -158,7 +159,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, bins: in
     rows = sample.select("doc_id", "toxic", "quality", "fold").orderBy("doc_id").collect()
     toxic, poor, fold = (np.array([f(r) for r in rows], np.int64) for f in (lambda r: r["toxic"], lambda r: 1 - r["quality"], lambda r: r["fold"]))
     if len(np.unique(toxic)) < 2:
-        return doc.select("doc_id", *(F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES), F.lit(False).alias("is_toxic"))
+        return doc.select("doc_id", "tag", *(F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES), F.lit(False).alias("is_toxic"))
     targets = np.stack([poor, toxic, toxic * poor], 1)
     named, counts = counted_terms(sample, targets, fold)
     position = {t: i for i, t in enumerate(named)}
@@ -173,9 +174,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, bins: in
             p = np.zeros((len(sets), 0))
             for m in shared.value:
                 p = np.column_stack([p, m.predict(sets, p)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(CATEGORIES)))], names=["doc_id", *(f"p_{c}" for c in CATEGORIES)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(CATEGORIES)))], names=["doc_id", "tag", *(f"p_{c}" for c in CATEGORIES)])
 
-    scored = materialise(doc.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES)), "toxicity")
+    scored = materialise(doc.mapInArrow(run, "doc_id long, tag long, " + ", ".join(f"p_{c} double" for c in CATEGORIES)), "toxicity")
     bin_ = F.floor(F.col("p_toxic") * bins).cast("int")
     hits, misses = np.zeros(bins + 1), np.zeros(bins + 1)
     for r in scored.join(label, "doc_id").groupBy(bin_.alias("bin"), "toxic").count().collect():
