@@ -29,13 +29,13 @@ def n_words(normal: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """PLACE, key (128 bits of the line's words) and halves (half keys, none for short lines) of each line with a word.  Texts
+    """PLACE, key and more (128 bits of the line's words) and halves (half keys, none for short lines) of each line with a word.  Texts
     go no further than this, and runs of white space are sought once for each text."""
     cut = docs.select("doc_id", "tag", F.posexplode(clean_lines(F.col("text"))).alias("line_no", "line"))
     own = cut.select(*PLACE, F.trim("line").alias("normal")).where("normal <> ''")
     some = own.select(*PLACE, "normal", n_words(F.col("normal")).alias("n"))
     halves = F.when(F.col("n") >= min_words, half_keys(F.col("normal"), F.col("n"), min_words)).otherwise(F.array().cast("array<bigint>"))
-    return some.select(*PLACE, F.unhex(F.md5("normal")).alias("key"), halves.alias("halves"))
+    return some.select(*PLACE, F.xxhash64("normal").alias("key"), F.xxhash64(F.lit("more"), "normal").alias("more"), halves.alias("halves"))
 
 
 def half_keys(normal: Column, n: Column, min_words: int) -> Column:
@@ -129,7 +129,7 @@ def within_one(a: Column, b: Column) -> Column:
 def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """PLACE of every line that an earlier line equals or is within one word of.  docs: doc_id, tag, text."""
     keyed = materialise(keyed_lines(docs, min_words), "lines")
-    first = materialise(keyed.groupBy("key").agg(F.min(F.struct(*PLACE, "halves")).alias("f")).select("key", *(f"f.{c}" for c in PLACE), "f.halves"), "first")
+    first = materialise(keyed.groupBy("key", "more").agg(F.min(F.struct(*PLACE, "halves")).alias("f")).select("key", "more", *(f"f.{c}" for c in PLACE), "f.halves"), "first")
     possible = possible_lines(docs, first)
     emitted = materialise(variants(possible), "variants")
     pair = materialise(near_pairs(emitted, min_words), "pairs")
@@ -137,9 +137,9 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     line = possible.select(F.struct(*PLACE).alias("place"), F.split("normal", " ").alias("w"))
     both = pair.join(line, "place").join(line.select(F.col("place").alias("other"), F.col("w").alias("o")), "other")
     near = both.where(within_one(F.col("w"), F.col("o"))).select("place.*").distinct().withColumn("near", F.lit(True))
-    judged = materialise(first.select("key", *PLACE).join(near, [*PLACE], "left").select("key", F.struct(*PLACE).alias("first"), "near"), "judged")
+    judged = materialise(first.select("key", "more", *PLACE).join(near, [*PLACE], "left").select("key", "more", F.struct(*PLACE).alias("first"), "near"), "judged")
     release(first, possible, pair)
-    return keyed.select("key", *PLACE).join(judged, "key").where(F.coalesce("near", F.lit(False)) | (F.struct(*PLACE) != F.col("first"))).select(*PLACE)
+    return keyed.select("key", "more", *PLACE).join(judged, ["key", "more"]).where(F.coalesce("near", F.lit(False)) | (F.struct(*PLACE) != F.col("first"))).select(*PLACE)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
@@ -154,7 +154,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """
     own = docs.drop("n_lines", "n_dropped")
     names = own.columns
-    rows = own.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
+    rows = own.select(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
     doc = texts(docs, None).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"), "text")
     gone = dropped_lines(doc, min_words).groupBy("doc_id", "tag").agg(F.collect_set("line_no").alias("gone"))
     lines = F.split("text", "\n")
@@ -165,5 +165,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
