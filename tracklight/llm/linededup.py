@@ -20,7 +20,11 @@ PLACE = ("doc_id", "tag", "line_no")
 
 def clean_lines(text: Column) -> Column:
     """The lines of a text with runs of white space made one space; lines can keep a space at their ends."""
-    return F.split(F.regexp_replace(text, r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " "), "\n")
+    odd = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(c))
+    clean = F.regexp_replace(text, r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " ")
+    return F.split(F.when(odd, clean).otherwise(text), "\n")  # most texts have no run to find
 
 
 def n_words(normal: Column) -> Column:
@@ -65,8 +69,8 @@ def possible_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     halves = first.select(*PLACE, F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
     able = materialise(halves.join(shared, "half", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("line_no").alias("at")), "able")
-    cut = docs.join(able, ["doc_id", "tag"]).select("doc_id", "tag", clean_lines(F.col("text")).alias("all"), F.explode("at").alias("line_no"))
-    own = cut.select(*PLACE, F.trim(F.element_at("all", F.col("line_no") + 1)).alias("normal")).dropDuplicates(PLACE)
+    picked = lambda e: F.transform("at", lambda i: F.struct(i.alias("line_no"), F.trim(F.get(e, i)).alias("normal")))
+    own = docs.join(able, ["doc_id", "tag"]).select("doc_id", "tag", F.inline(F.transform(F.array(clean_lines(F.col("text"))), picked)[0])).dropDuplicates(PLACE)
     possible = materialise(own.withColumn("n", n_words(F.col("normal"))), "possible")
     release(able)
     return possible
