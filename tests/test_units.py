@@ -1,5 +1,6 @@
 """Vectors worked out by hand for the scalar and byte operators."""
 
+import pytest
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,41 @@ def test_job_states_stream(spark, tmp_path):
     q = job_states(s).writeStream.format("memory").queryName("states").outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert {r.job_id: r.state for r in spark.table("states").collect()} == {"j": "PartialSuccess", "k": "Cancelled"}
+
+
+def test_sheet_numbers_and_values():
+    from tracklight.functions.cue import parse_text
+
+    for bad in ("TRACK 1_0 AUDIO", "TRACK 99999999999 AUDIO", "TRACK ٣ AUDIO"):
+        assert parse_text(bad)["error"] == "InvalidSyntax"
+    sheet = parse_text('REM DATE\nREM GENRE "Pop"\nREM X\nCATALOG "123"\nTRACK +1 AUDIO\nREM DATE 2001\nISRC AB CD\nINDEX 01 00:00:00')["sheet"]
+    assert (sheet["date"], sheet["genre"], sheet["rem"], sheet["catalog"]) == ("", "Pop", {"X": ""}, '"123"')
+    track = sheet["files"][0]["tracks"][0]
+    assert (track["number"], track["rem"], track["isrc"]) == (1, {"DATE": "2001"}, "AB")
+
+
+def test_templates_are_filled_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from tracklight.functions import text as T
+
+    v = {k: F.lit(None).cast("string") for k in T.VARIABLES} | {"title": F.lit("a {track} {artist}"), "artist": F.lit("me"), "track": F.lit(7)}
+    shown = lambda t: spark.range(1).select(T.apply_vars(F.lit(t), v).alias("x")).first().x
+    assert shown("{title}|{album_artist}|{track:02d}|{TRACK:04d}|{track:2d}|{}|{x}") == "a 7 me|me|07|0007||{}|"
+    with pytest.raises(ValueError):
+        T.checked_template("{track}")
+
+
+def test_scan_goes_on_without_a_missing_root(spark, tmp_path):
+    from tracklight.sources import library
+
+    (tmp_path / "a" / "out").mkdir(parents=True)
+    for name in ("a/x.flac", "a/x.CUE", "a/out/y.flac"):
+        (tmp_path / name).write_bytes(b"no flac")
+    roots = [str(tmp_path / "none"), str(tmp_path / "a")]
+    assert library.missing_roots(spark, roots) == roots[:1]
+    audio, sheets = library.scan(spark, roots)
+    assert [r.file_name for r in audio.collect()] == ["x.flac"] and [r.file_name for r in sheets.collect()] == ["x.CUE"]
+    joined = audio.join(library.embedded_sheets(spark, roots), "path").collect()
+    assert len(joined) == 1 and joined[0].error
+    assert library.listing(spark, roots[:1]).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extensions of audio files, and device names that no file may have.
+#: Extensions of audio files, device names that no file may have, and folders that a scan leaves out.
 AUDIO = ("flac", "wav", "ape", "wv", "tak", "aiff", "aif")
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)))
 PRUNED = ("out", "output", "split")
@@ -61,17 +61,50 @@ def _literal(v: Column) -> Column:
     return F.regexp_replace(v, r"([\\$])", r"\\$1")
 
 
+#: The names that a template may hold, in the order in which they are filled in, and the usual templates.
+VARIABLES = ("title", "artist", "album", "album_artist", "year", "genre", "disc", "track")
+PRESETS = (
+    ("{album_artist}/{album}", "{track:02d}. {title}"), ("{album}", "{track:02d} - {title}"), ("{album_artist} - {album}", "{track:02d}. {title}"),
+    ("", "{track:02d}. {artist} - {title}"), ("[{year}] {album}", "{track:02d}. {title}"),
+)
+
+
+def checked_template(file: str) -> str:
+    """A file template, which must hold {title}."""
+    if "{title}" not in file:
+        raise ValueError("a file template must contain {title}")
+    return file
+
+
 def apply_vars(template: Column, v: dict[str, Column]) -> Column:
-    """Template with {track:0Nd}, then title, artist, album, album_artist, year, genre, disc and {track} filled in, in this
-    order (values are looked through again for later ones), other {…} removed, ends stripped."""
+    """Template with {track} and {track:0Nd} filled in, then VARIABLES (values are looked through again for later ones), other
+    {…} removed, ends stripped.  The album's artist is the track's where there is none."""
     number = v["track"].cast("string")
-    width = F.regexp_extract(template, r"(?i)\{track:0?(\d+)d\}", 1)
-    padded = F.lpad(number, F.greatest(F.coalesce(width.try_cast("int"), F.lit(0)), F.length(number)), "0")
-    out = F.regexp_replace(template, F.lit(r"(?i)\{track:0?\d+d\}"), padded)
-    out = F.regexp_replace(out, F.lit(r"(?i)\{track\}"), number)
-    for key in ("title", "artist", "album", "album_artist", "year", "genre", "disc"):
+    v = v | {"album_artist": F.coalesce(v["album_artist"].cast("string"), v["artist"].cast("string"))}
+    widths = F.array_distinct(F.regexp_extract_all(template, F.lit(r"(?i)\{track:0([0-9]+)d\}"), F.lit(1)))
+
+    def padded(out: Column, width: Column) -> Column:
+        size = F.greatest(F.coalesce(width.try_cast("int"), F.lit(0)), F.length(number))
+        return F.regexp_replace(out, F.concat(F.lit(r"(?i)\{track:0"), width, F.lit(r"d\}")), F.lpad(number, size, "0"))
+
+    out = F.aggregate(widths, F.regexp_replace(template, F.lit(r"(?i)\{track\}"), number), padded)
+    for key in VARIABLES:
         out = F.regexp_replace(out, F.lit(r"(?i)\{" + key + r"\}"), _literal(F.coalesce(v[key].cast("string"), F.lit(""))))
-    return strip(F.regexp_replace(out, r"\{[^}]*\}", ""))
+    return strip(F.regexp_replace(out, r"\{[^{}]+\}", ""))
+
+
+def name_context(track: Column, album: Column) -> dict[str, Column]:
+    """The values of VARIABLES from a track (number, title, performer) and its album (title, performer, date, genre)."""
+    number = track["number"]
+    return {"track": number, "title": F.coalesce(track["title"], F.concat(F.lit("Track "), number.cast("string"))), "artist": F.coalesce(track["performer"], album["performer"]), "album": album["title"], "album_artist": album["performer"], "year": album["date"], "genre": album["genre"], "disc": F.lit(None).cast("string")}
+
+
+def tag_pairs(track: Column, album: Column) -> Column:
+    """array<struct<k, v>> of the tags of a track, without blank ones."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    number = track["number"].cast("string")
+    pairs = (("title", text(track["title"])), ("artist", text(F.coalesce(track["performer"], album["performer"]))), ("album", text(album["title"])), ("albumartist", text(album["performer"])), ("album_artist", text(album["performer"])), ("track", number), ("tracknumber", number), ("genre", text(album["genre"])), ("date", text(album["date"])))
+    return F.filter(F.array(*(F.struct(F.lit(k).alias("k"), c.alias("v")) for k, c in pairs)), lambda p: strip(p["v"]) != "")
 
 
 def sanitize(segment: Column) -> Column:

@@ -104,20 +104,20 @@ def covering_frames(spark, sf):
 @query("select l_orderkey, case when min(l_quantity) = max(l_quantity) then 'Fixed' else 'Variable' end as mode, min(l_quantity)::bigint * 100 as low, max(l_quantity)::bigint * 100 as high, case when min(l_quantity) = max(l_quantity) then min(l_quantity)::bigint * 100 end as fixed_block from lineitem group by 1")
 def preferred_mode(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.min("l_quantity").cast("bigint") * 100).alias("low"), (F.max("l_quantity").cast("bigint") * 100).alias("high"))
-    return g.select("l_orderkey", F.when(F.col("low") == F.col("high"), "Fixed").otherwise("Variable").alias("mode"), "low", "high", planning.fixed_block(F.col("low"), F.col("high")).alias("fixed_block"))
+    return g.select("l_orderkey", planning.preferred_mode(F.col("low"), F.col("high")).alias("mode"), "low", "high", planning.fixed_block(F.col("low"), F.col("high")).alias("fixed_block"))
 
 
 @query("select l_orderkey, min(b) filter (where b > 0) as low, max(b) filter (where b > 0) as high, coalesce(sum(b), 0)::bigint as total from (select l_orderkey, case when l_linenumber % 3 = 0 then 0 else l_quantity::bigint end as b from lineitem) group by 1")
 def block_stats(spark, sf):
     b = F.when(F.col("l_linenumber") % 3 == 0, F.lit(0)).otherwise(F.col("l_quantity")).cast("bigint")
-    return table(spark, sf, "lineitem").select("l_orderkey", b.alias("b")).groupBy("l_orderkey").agg(F.min(F.when(F.col("b") > 0, F.col("b"))).alias("low"), F.max(F.when(F.col("b") > 0, F.col("b"))).alias("high"), F.sum("b").alias("total"))
+    return planning.block_stats(table(spark, sf, "lineitem").select("l_orderkey", b.alias("b")), "l_orderkey", "b")
 
 
 @query("select p_partkey, (case c when 0 then null when 1 then 192 when 6 then p_size % 256 + 1 when 7 then p_size * 100 + 1 else case when c <= 5 then 576 * (2 ** (c - 2)) else 256 * (2 ** (c - 8)) end end)::int as samples from (select *, p_partkey % 16 as c from part)")
 def block_size_code(spark, sf):
     c = (F.col("p_partkey") % 16).cast("int")
-    shifted = lambda base, by: F.expr(f"shiftleft({base}, cast(p_partkey % 16 as int) - {by})")
-    return table(spark, sf, "part").select("p_partkey", F.when(c == 1, 192).when(c == 6, F.col("p_size") % 256 + 1).when(c == 7, F.col("p_size") * 100 + 1).when((c >= 2) & (c <= 5), shifted(576, 2)).when(c >= 8, shifted(256, 8)).cast("int").alias("samples"))
+    extra = F.when(c == 6, F.col("p_size") % 256).otherwise(F.col("p_size") * 100)
+    return table(spark, sf, "part").select("p_partkey", planning.block_size(c, extra).alias("samples"))
 
 
 def _planned(spark, sf):
@@ -166,12 +166,29 @@ def plan_counts(spark, sf):
     return planning.plan_counts(_planned(spark, sf), "album_id")
 
 
-@query("""with g as (select user_id, count(*) filter (where event_type = 'purchase') as good, count(*) filter (where event_type = 'error') as bad, bool_or(event_type = 'signup') as c from events group by 1)
-select user_id, good, bad, case when c and good = 0 then 'Cancelled' when good > 0 and bad = 0 then 'Succeeded' when good > 0 then 'PartialSuccess' when c then 'Cancelled' else 'Failed' end as state, good || '/' || (good + bad) || ' ok' || case when bad > 0 then ', ' || bad || ' fail' else '' end as summary from g""")
+@query("""with g as (select user_id, count(*) filter (where event_type = 'purchase') as good, count(*) filter (where event_type = 'error') as bad, count(*) filter (where event_type = 'error' and event_id % 3 = 0) as edge, bool_or(event_type = 'signup') as c from events group by 1),
+s as (select *, case when c and good = 0 then 'Cancelled' when good > 0 and bad = 0 then 'Succeeded' when good > 0 then 'PartialSuccess' when c then 'Cancelled' else 'Failed' end as state from g)
+select user_id, good, bad, state, good || '/' || (good + bad) || ' ok' || case when bad > 0 then ', ' || bad || ' fail' else '' end || case when edge > 0 then ' (' || edge || ' 边界未对齐)' else '' end || ' · Hybrid' as summary,
+round(case when state = 'Succeeded' then 1.0::double else 0.08::double + 0.92::double * (good + bad) / greatest(good + bad + 1, 1) end, 6) as progress from s""")
 def job_state(spark, sf):
     k = F.col("event_type")
-    g = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(k == "purchase").alias("good"), F.count_if(k == "error").alias("bad"), F.max(k == "signup").alias("c"))
-    return g.select("user_id", "good", "bad", jobs.state(F.col("c"), F.col("good"), F.col("bad")).alias("state"), jobs.summary(F.col("good"), F.col("bad")).alias("summary"))
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(k == "purchase").alias("good"), F.count_if(k == "error").alias("bad"), F.count_if((k == "error") & (F.col("event_id") % 3 == 0)).alias("edge"), F.max(k == "signup").alias("c"))
+    g = g.withColumn("state", jobs.state(F.col("c"), F.col("good"), F.col("bad")))
+    done = F.col("good") + F.col("bad")
+    return g.select("user_id", "good", "bad", "state", jobs.summary(F.col("good"), F.col("bad"), F.col("edge")).alias("summary"), F.round(jobs.progress(done, done + 1, F.col("state")), 6).alias("progress"))
+
+
+@query("""with j as (select c_custkey as job_id, case c_custkey % 6 when 0 then 'Running' when 1 then 'Pending' when 2 then 'Failed' when 3 then 'Cancelled' when 4 then 'PartialSuccess' else 'Succeeded' end as was from customer)
+select job_id, case when job_id % 2 = 0 and was = 'Running' then 'Cancelling' when job_id % 2 = 0 and was = 'Pending' then case when job_id % 3 = 0 then 'Pending' else 'Cancelled' end when job_id % 3 = 0 and was in ('Failed', 'Cancelled', 'PartialSuccess') then 'Pending' else was end as state,
+case when job_id % 3 = 0 and was in ('Failed', 'Cancelled', 'PartialSuccess') then 0.0::double else 0.5::double end as progress, case when job_id % 2 = 0 and was = 'Running' then true when job_id % 3 = 0 and was in ('Failed', 'Cancelled', 'PartialSuccess') then true else was in ('Running', 'Pending') end as active from j""")
+def job_transitions(spark, sf):
+    """Jobs of all states; even ones are cancelled, then multiples of three are tried again."""
+    key = F.col("job_id")
+    was = F.element_at(F.array(*map(F.lit, ("Running", "Pending", "Failed", "Cancelled", "PartialSuccess", "Succeeded"))), (key % 6 + 1).cast("int"))
+    known = jobs.enqueue(table(spark, sf, "customer").select(F.col("c_custkey").alias("job_id"))).withColumns({"state": was, "progress": F.lit(0.5)})
+    ids = known.select("job_id")
+    after = jobs.retry(jobs.cancel(known, ids.where("job_id % 2 = 0")), ids.where("job_id % 3 = 0"))
+    return after.select("job_id", "state", "progress", jobs.is_active(F.col("state")).alias("active"))
 
 
 @query("select event_id, user_id, round(0.08::double + 0.92::double * (count(*) filter (where event_type in ('purchase', 'error')) over (partition by user_id order by ts rows unbounded preceding)) / greatest(100, 1), 6) as progress from events")
@@ -213,14 +230,14 @@ def match_file_directive(spark, sf):
     return _shown(matching.by_file_entry(a, c))
 
 
-@query("""with a as (select lower('/m/' || p_brand || '/' || (p_size % 10)) as d, list(p_partkey order by p_partkey) as s from part where p_partkey % 20 = 0 group by 1),
-c as (select lower('/m/' || p_brand || '/' || (p_size % 10)) as d, list(p_partkey order by p_partkey) as cs from part where p_partkey % 20 = 1 group by 1)
+@query("""with a as (select lower('/m/' || p_brand || '/' || p_size || '/' || p_type) as d, list(p_partkey order by p_partkey) as s from part where p_partkey % 2 = 0 group by 1),
+c as (select lower('/m/' || p_brand || '/' || p_size || '/' || p_type) as d, list(p_partkey order by p_partkey) as cs from part where p_partkey % 2 = 1 group by 1)
 select d, array_to_string(s, ',') as audio, array_to_string(cs, ',') as cues, case when len(s) = 1 and len(cs) = 1 then 'matched' else 'ambiguous' end as outcome from a join c using (d)""")
 def match_unique_pair(spark, sf):
-    d = F.concat(F.lit("/m/"), "p_brand", F.lit("/"), (F.col("p_size") % 10).cast("string"), F.lit("/"))
+    d = F.concat(F.lit("/m/"), "p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("/"), "p_type", F.lit("/"))
     p = table(spark, sf, "part")
-    a = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("scan_pos"), d.alias("dir"))
-    c = p.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("cue_pos"), d.alias("cue_dir"))
+    a = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("scan_pos"), d.alias("dir"))
+    c = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("cue_pos"), d.alias("cue_dir"))
     got = matching.by_only_pair(a, c)
     return _shown(got.withColumn("audio", F.array_join(F.transform("scan_positions", lambda x: x.cast("string")), ","))).select("d", "audio", "cues", "outcome")
 
@@ -243,7 +260,7 @@ def match_report_counts(spark, sf):
 
 @query(f"with {LIBRARY}, pick as (select scan_pos, min(c) as c from (select scan_pos, unnest(cs) as c from matches where outcome = 'ambiguous') group by 1 having scan_pos % 4 = 0) select m.scan_pos, case when p.c is null then outcome else 'matched' end as outcome, case when p.c is null then rule else 'UserConfirmed' end as rule, case when p.c is null then {_LISTED} else p.c::varchar end as cues from matches m left join pick p using (scan_pos)")
 def match_confirm(spark, sf):
-    m = matching.match(*library(spark, sf)).persist()
+    m = matching.match(*library(spark, sf))
     decisions = matching.candidates(m).groupBy("scan_pos").agg(F.min("cue_pos").alias("cue_pos")).where("scan_pos % 4 = 0")
     return _shown(matching.confirm(m, decisions)).select("scan_pos", "outcome", "rule", "cues")
 
@@ -314,6 +331,59 @@ def cue_tokenize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(t).cast("bigint").alias("n"), F.array_join(t, "~").alias("tokens"))
 
 
+@query("select c_custkey as path from customer where c_custkey % 2 = 0 and c_custkey % 3 <> 0 union all select c_custkey from customer where c_custkey % 3 = 0 and c_custkey % 2 <> 0")
+def select_toggle(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("path"))
+    return matching.toggled(c.where("path % 2 = 0"), c.where("path % 3 = 0"))
+
+
+@query(f"with {_PLANNED} select album_id, track_index, 'LosslessReencode' as method, null::varchar as rejection from planned")
+def plan_forced_reencode(spark, sf):
+    method, rejection = planning.forced_reencode(F.col("method"), F.col("rejection"))
+    return _planned(spark, sf).select("album_id", "track_index", method.alias("method"), rejection.alias("rejection"))
+
+
+@query("select p_partkey, (p_partkey % 11)::int as which, p_name as text from part")
+def charset_roundtrip(spark, sf):
+    """Names written in each charset by its own name and read back."""
+    which = (F.col("p_partkey") % 11).cast("int")
+    return table(spark, sf, "part").select("p_partkey", which.alias("which"), _written_and_read(F.col("p_name"), which).alias("text"))
+
+
+@pandas_udf("string")
+def _written_and_read(text, which):
+    import pandas as pd
+
+    out = []
+    for t, k in zip(text, which, strict=True):
+        name, codec = charset.CANDIDATES[int(k)]
+        out.append(charset.decode(t.encode(codec), name)[2])
+    return pd.Series(out)
+
+
+def _named_track() -> tuple:
+    track = F.struct((F.col("c_custkey") % 150).alias("number"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("title"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("performer"))
+    album = F.struct(F.col("c_mktsegment").alias("title"), F.when(F.col("c_custkey") % 5 != 0, F.col("n_name")).alias("performer"), F.lit("1999").alias("date"), F.lit(" ").alias("genre"))
+    return track, album
+
+
+_ARTIST = "coalesce(case when c_custkey % 3 = 0 then c_mktsegment end, case when c_custkey % 5 <> 0 then n_name end)"
+_TITLE = "case when c_custkey % 4 <> 0 then c_name end"
+
+
+@query(f"select c_custkey, coalesce({_TITLE}, 'Track ' || {_T}) || '|' || coalesce({_ARTIST}, '') || '|' || coalesce(case when c_custkey % 5 <> 0 then n_name end, {_ARTIST}, '') || '|' || c_mktsegment || '|1999|' || {_T} || '|' || lpad({_T}, greatest(3, length({_T}))::int, '0') as rendered {_NAMED}")
+def template_context(spark, sf):
+    rows, _ = _named(spark, sf)
+    v = T.name_context(*_named_track())
+    return rows.select("c_custkey", T.apply_vars(F.lit("{title}|{artist}|{album_artist}|{album}|{year}|{track}|{TRACK:03d}"), v).alias("rendered"))
+
+
+@query(f"select c_custkey, concat_ws('|', 'title=' || {_TITLE}, 'artist=' || {_ARTIST}, 'album=' || c_mktsegment, 'albumartist=' || case when c_custkey % 5 <> 0 then n_name end, 'album_artist=' || case when c_custkey % 5 <> 0 then n_name end, 'track=' || {_T}, 'tracknumber=' || {_T}, 'date=1999') as tags {_NAMED}")
+def tag_map(spark, sf):
+    rows, _ = _named(spark, sf)
+    return rows.select("c_custkey", F.array_join(F.transform(T.tag_pairs(*_named_track()), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "|").alias("tags"))
+
+
 def _sheets(spark, sf) -> DataFrame:
     """A sheet text for each conversation."""
     mmssff = lambda n: F.format_string("%02d:%02d:%02d", tm.div(n, 4500), tm.div(n, 75) % 60, n % 75)
@@ -330,7 +400,7 @@ def cue_parse_roundtrip(spark, sf):
     return t.withColumn("ix", ix).select("album_id", "album", "date", "file", "pos", "t.number", "t.title", tm.to_samples(tm.sectors(F.col("ix.m"), F.col("ix.s"), F.col("ix.f"))).alias("start_sample"))
 
 
-_BROKEN = ("", 'TITLE "x"', "FILE", "TRACK xx AUDIO", "TRACK 1 AUDIO\nINDEX 01", "TRACK 1 AUDIO\nINDEX 01 00:60:00", "INDEX 01 bad\nTRACK 1 AUDIO")
+_BROKEN = ("", 'TITLE "x"', "FILE", "TRACK 99999999999 AUDIO", "TRACK 1 AUDIO\nINDEX 01", "TRACK 1 AUDIO\nINDEX 01 00:60:00", "INDEX 01 bad\nTRACK 1 AUDIO")
 
 
 @query("select p_partkey, p_partkey % 7 = 6 as ok, case p_partkey % 7 when 0 then 'EmptyInput' when 1 then 'NoTracks' when 5 then 'InvalidTime' when 6 then null else 'InvalidSyntax' end as error, (case when p_partkey % 7 in (2, 3) then 1 when p_partkey % 7 in (4, 5) then 2 end)::int as line_number from part")

@@ -32,12 +32,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_starts(blocks, "file_id", order).withColumn("byte_offset", F.coalesce(F.sum("byte_length").over(w), F.lit(0)).cast("bigint")).select("file_id", "frame_index", "start_sample", "sample_count", "byte_offset", "byte_length")
 
 
-FRAMES = """frames as (select l_orderkey as file_id, (row_number() over w - 1)::bigint as frame_index, (l_quantity * 100)::bigint as sample_count, (l_quantity * 10)::bigint as byte_length,
+FRAMES = """frames as materialized (select l_orderkey as file_id, (row_number() over w - 1)::bigint as frame_index, (l_quantity * 100)::bigint as sample_count, (l_quantity * 10)::bigint as byte_length,
   (coalesce(sum((l_quantity * 100)::bigint) over (w rows between unbounded preceding and 1 preceding), 0))::bigint as start_sample,
   (coalesce(sum((l_quantity * 10)::bigint) over (w rows between unbounded preceding and 1 preceding), 0))::bigint as byte_offset
   from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)),
-totals as (select file_id, sum(sample_count)::bigint as total, count(*) as n, sum(byte_length)::bigint as bytes from frames group by 1),
-bounds as (select file_id, start_sample as sample, frame_index, byte_offset from frames union all select file_id, total, n, bytes from totals)"""
+totals as materialized (select file_id, sum(sample_count)::bigint as total, count(*) as n, sum(byte_length)::bigint as bytes from frames group by 1),
+bounds as materialized (select file_id, start_sample as sample, frame_index, byte_offset from frames union all select file_id, total, n, bytes from totals)"""
 
 
 def quarters(frames_: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def quarters(frames_: DataFrame) -> DataFrame:
     return total.select("file_id", "total", F.explode(F.array(*(F.struct(F.lit(i).alias("q"), (q * i).alias("lo"), (q * (i + 1) if i < 3 else F.col("total")).alias("hi")) for i in range(4)))).alias("r")).select("file_id", "r.q", "r.lo", "r.hi", "total")
 
 
-QUARTERS = """quarters as (select file_id, q, (total // 4) * q as lo, case when q < 3 then (total // 4) * (q + 1) else total end as hi, total
+QUARTERS = """quarters as materialized (select file_id, q, (total // 4) * q as lo, case when q < 3 then (total // 4) * (q + 1) else total end as hi, total
   from totals, (select unnest([0, 1, 2, 3]) as q))"""
 
 
@@ -62,26 +62,26 @@ def library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return audio, cues, embedded
 
 
-LIBRARY = """audio as (select p_partkey as scan_pos, p_brand as d, p_name || '-' || p_size as name from part where p_partkey % 2 = 0),
-cues as (select p_partkey as cue_pos, p_brand as d, p_name || '-' || p_size as name, p_name || '-' || (p_size % 7) as entry from part where p_partkey % 2 = 1),
-embedded as (select d, name, min(scan_pos) % 3 = 1 as parse_ok from audio group by 1, 2 having min(scan_pos) % 3 <> 0),
-a1 as (select lower(name) as key, min(scan_pos) as scan_pos from audio group by 1),
-c1 as (select lower(name) as key, list(cue_pos order by cue_pos) as cs from cues group by 1),
-p1 as (select scan_pos, cs from a1 join c1 using (key)),
+LIBRARY = """audio as materialized (select p_partkey as scan_pos, p_brand as d, p_name || '-' || p_size as name from part where p_partkey % 2 = 0),
+cues as materialized (select p_partkey as cue_pos, p_brand as d, p_name || '-' || p_size as name, p_name || '-' || (p_size % 7) as entry from part where p_partkey % 2 = 1),
+embedded as materialized (select d, name, min(scan_pos) % 3 = 1 as parse_ok from audio group by 1, 2 having min(scan_pos) % 3 <> 0),
+a1 as materialized (select lower(name) as key, min(scan_pos) as scan_pos from audio group by 1),
+c1 as materialized (select lower(name) as key, list(cue_pos order by cue_pos) as cs from cues group by 1),
+p1 as materialized (select scan_pos, cs from a1 join c1 using (key)),
 u1 as (select unnest(cs) as cue_pos from p1),
-a2 as (select * from audio where scan_pos not in (select scan_pos from p1)),
-c2 as (select * from cues where cue_pos not in (select cue_pos from u1)),
-g2 as (select lower(a2.d) as d, lower(a2.name) as name, min(scan_pos) as scan_pos, list(distinct cue_pos order by cue_pos) as cs
+a2 as materialized (select * from audio where scan_pos not in (select scan_pos from p1)),
+c2 as materialized (select * from cues where cue_pos not in (select cue_pos from u1)),
+g2 as materialized (select lower(a2.d) as d, lower(a2.name) as name, min(scan_pos) as scan_pos, list(distinct cue_pos order by cue_pos) as cs
        from a2 join c2 on lower(a2.d) = lower(c2.d) and lower(a2.name) = lower(c2.entry) group by 1, 2),
-p2 as (select scan_pos, cs from g2),
+p2 as materialized (select scan_pos, cs from g2),
 u2 as (select unnest(cs) as cue_pos from p2),
-a3 as (select * from a2 where scan_pos not in (select scan_pos from p2)),
-c3 as (select * from c2 where cue_pos not in (select cue_pos from u2)),
-p3 as (select d, ss, cs from (select lower(d) as d, list(scan_pos order by scan_pos) as ss from a3 group by 1) join (select lower(d) as d, list(cue_pos order by cue_pos) as cs from c3 group by 1) using (d)),
-u3 as (select unnest(ss) as scan_pos, cs from p3),
-p4 as (select a3.scan_pos, e.parse_ok from a3 left join embedded e on a3.d = e.d and a3.name = e.name where a3.scan_pos not in (select scan_pos from u3)),
-matches as (
+a3 as materialized (select * from a2 where scan_pos not in (select scan_pos from p2)),
+c3 as materialized (select * from c2 where cue_pos not in (select cue_pos from u2)),
+p3 as materialized (select d, ss, cs from (select lower(d) as d, list(scan_pos order by scan_pos) as ss from a3 group by 1) join (select lower(d) as d, list(cue_pos order by cue_pos) as cs from c3 group by 1) using (d)),
+u3 as materialized (select unnest(ss) as scan_pos, ss, cs from p3),
+p4 as materialized (select a3.scan_pos, e.parse_ok from a3 left join embedded e on a3.d = e.d and a3.name = e.name where a3.scan_pos not in (select scan_pos from u3)),
+matches as materialized (
  select scan_pos, 1 as pass, case when len(cs) = 1 then 'matched' else 'ambiguous' end as outcome, case when len(cs) = 1 then 'Basename' end as rule, null as reason, cs from p1
  union all select scan_pos, 2, case when len(cs) = 1 then 'matched' else 'ambiguous' end, case when len(cs) = 1 then 'CueFileDirective' end, null, cs from p2
- union all select u3.scan_pos, 3, case when len(ss) = 1 and len(u3.cs) = 1 then 'matched' else 'ambiguous' end, case when len(ss) = 1 and len(u3.cs) = 1 then 'UniquePairInDirectory' end, null, u3.cs from u3 join p3 on list_contains(p3.ss, u3.scan_pos)
+ union all select u3.scan_pos, 3, case when len(ss) = 1 and len(cs) = 1 then 'matched' else 'ambiguous' end, case when len(ss) = 1 and len(cs) = 1 then 'UniquePairInDirectory' end, null, cs from u3
  union all select scan_pos, 4, case when parse_ok then 'matched' else 'unmatched' end, case when parse_ok then 'EmbeddedCue' end, case when parse_ok is null then 'No external or embedded CUE' when not parse_ok then 'Embedded CUE failed to parse' end, [] from p4)"""
