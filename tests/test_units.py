@@ -1,6 +1,5 @@
 """Vectors worked out by hand for the scalar and byte operators."""
 
-import pytest
 import pytest
 from pyspark.sql import functions as F
 
