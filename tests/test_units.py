@@ -7,7 +7,7 @@ from tracklight.functions import charset, cue, flac
 from tracklight.functions import text as T
 from tracklight.functions import time as tm
 from tracklight.operators import frames as fr
-from tracklight.operators import jobs, matching
+from tracklight.operators import jobs, matching, writers
 from tracklight.sources import library
 from tracklight.streaming.jobs import job_states
 
@@ -181,3 +181,56 @@ def test_scan_goes_on_without_a_missing_root(spark, tmp_path):
     joined = audio.join(library.embedded_sheets(spark, roots), "path").collect()
     assert len(joined) == 1 and joined[0].error
     assert library.listing(spark, roots[:1]).count() == 0
+
+
+INFO = {"min_block": 100, "max_block": 100, "min_frame": 0, "max_frame": 0, "sample_rate": 44_100, "channels": 2, "bits_per_sample": 16}
+
+
+def album(sizes, body=b"frame"):
+    audio = b"".join(flac.make_frame(n, i, body + bytes([i])) for i, n in enumerate(sizes))
+    return flac.container(INFO | {"total_samples": sum(sizes)}, [], audio)
+
+
+def test_crc16_of_spans_equals_bytewise():
+    data = bytes((i * 31 + i // 7) % 256 for i in range(9000))
+    for n in (63, 64, 65, 4095, 4096, 4097, 4098, 8193, 9000):
+        c = 0x1234
+        for x in data[:n]:
+            c = (c << 8 & 0xFFFF) ^ flac._CRC16[c >> 8 ^ x]
+        assert flac.crc16(data[:n], 0x1234) == c
+
+
+def test_copied_and_stitched_tracks():
+    whole = album([100] * 5)
+    f = list(flac.frames(whole))
+    cuts, body = [(x[0], x[4], x[2]) for x in f[2:4]], whole[f[2][3] : f[4][3]]
+    copied = flac.stitch(INFO, ["TITLE=a"], 200, None, body, cuts, None)
+    assert [x[1:3] for x in flac.frames(copied)] == [(0, 100), (100, 100)] and copied.endswith(flac.make_frame(100, 1, b"frame\3"))
+    assert flac.metadata(copied)["comments"] == [{"k": "TITLE", "v": "a"}]
+    first = whole[f[0][3] : f[2][3]]
+    assert flac.stitch(INFO, [], 200, None, first, [(x[0], x[4], x[2]) for x in f[:2]], None).endswith(first)
+    both = flac.stitch(INFO, [], 270, album([30]), body, cuts, album([40]))
+    assert [x[2] for x in flac.frames(both)] == [30, 100, 100, 40] and both.endswith(flac.make_frame(40, 230, b"frame\0", True))
+    assert flac.metadata(both)["info"]["min_block"] == 30
+    with pytest.raises(ValueError, match="expected"):
+        flac.stitch(INFO, [], 271, album([30]), body, cuts, album([40]))
+    with pytest.raises(ValueError, match="differ"):
+        flac.stitch(INFO | {"channels": 1}, [], 270, album([30]), body, cuts, album([40]))
+
+
+def test_tracks_are_written(spark, tmp_path):
+    old = tmp_path / "out" / "1.flac"
+    old.parent.mkdir()
+    old.write_bytes(b"old")
+    whole = album([100] * 5)
+    files = spark.createDataFrame([("a", whole), ("junk", b"no flac")], "file string, content binary")
+    frames = spark.createDataFrame([("a", *x) for x in flac.frames(whole)], "file string, frame_index int, start_sample long, sample_count int, byte_offset long, byte_length int")
+    wanted = [("a", 1, 0, 200), ("a", 2, 250, 470), ("a", 3, 310, 350), ("a", 4, 300, 200), ("a", 5, 400, 501), ("a", 6, 100, 100), ("a", 7, 150, 300), ("gone", 8, 0, 5), ("junk", 9, 0, 5)]
+    ranges = spark.createDataFrame([(*w, f"file://{tmp_path}/out/{w[1]}.flac", ["TITLE=t"]) for w in wanted], "file string, track int, lo long, hi long, uri string, tags array<string>")
+    edge, tail, all_of = album([50]), album([70]), album([40])
+    parts = writers.split(files, frames, ranges, "file").withColumns({"lead": F.when(F.col("track") == 2, F.lit(edge)), "trail": F.when(F.col("track") == 2, F.lit(tail)), "encoded": F.when(F.col("track") == 3, F.lit(all_of))})
+    got = {r.track: r for r in writers.write_tracks(parts, ["track"]).collect()}
+    assert [(got[t].ok, got[t].method, got[t].reason) for t in range(1, 10)] == [(True, "FrameCopy", None), (True, "HybridBoundary", None), (True, "LosslessReencode", None), (False, None, "InvalidRange"), (False, None, "UnsafeFrameBoundary"), (True, "FrameCopy", None), (False, "HybridBoundary", "EncoderError"), (False, None, "IoError"), (False, None, "IoError")]
+    assert sorted(p.name for p in old.parent.iterdir()) == ["1.flac", "2.flac", "3.flac", "6.flac"]
+    samples = lambda n: [x[2] for x in flac.frames((old.parent / n).read_bytes())]
+    assert (samples("1.flac"), samples("2.flac"), samples("3.flac"), samples("6.flac")) == ([100, 100], [50, 100, 70], [40], [])

@@ -12,7 +12,7 @@ from tracklight.functions import text as T
 from tracklight.functions import time as tm
 from tracklight.functions.udfs import pandas_udf
 from tracklight.operators import frames as fr
-from tracklight.operators import jobs, matching, planning, ranges
+from tracklight.operators import jobs, matching, planning, ranges, writers
 from tracklight.plans.inputs import FRAMES, LIBRARY, QUARTERS, TRACKS, frames, library, quarters, table, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,6 +461,29 @@ def flac_frames_roundtrip(spark, sf):
     return f.select("file_id", "frame_index", "start_sample", "sample_count")
 
 
+@pandas_udf("binary")
+def _encoded(samples):
+    """What an encoder would make of so many samples: a file of one frame."""
+    import pandas as pd
+
+    info = {"min_frame": 0, "max_frame": 0, "sample_rate": 44_100, "channels": 2, "bits_per_sample": 16}
+    one = lambda n: flac.container(info | {"min_block": n, "max_block": n, "total_samples": n}, [], flac.make_frame(n, 0, b"edge"))
+    return pd.Series([one(int(n)) if n == n and n is not None else None for n in samples])
+
+
+@query(f"""{_SLICE}, hit as (select q.file_id, q.q, q.lo, q.hi, min(start_sample) as a, max(start_sample + sample_count) as z, count(*) filter (where start_sample >= lo and start_sample + sample_count <= hi) as n from quarters q join frames f on f.file_id = q.file_id and start_sample < hi and start_sample + sample_count > lo group by 1, 2, 3, 4)
+ select file_id, q, case when a = lo and z = hi then 'FrameCopy' when n > 0 then 'HybridBoundary' else 'LosslessReencode' end as method, true as ok, case when n = 0 then 1 else n + (a < lo)::int + (z > hi)::int end as n_frames, hi - lo as samples from hit""")
+def track_files(spark, sf):
+    """Albums cut into four tracks each, written as whole files and indexed again."""
+    files = _files(spark, sf)
+    found = files.lateralJoin(flac.flac_frames(F.col("data").outer())).drop("data", "error")
+    parts = writers.split(files.withColumnRenamed("data", "content"), found, quarters(frames(spark, sf)), "file_id")
+    whole = F.when(F.col("method") == planning.REENCODE, F.col("hi") - F.col("lo"))
+    edged = parts.withColumns({"lead": _encoded(F.col("lead_end") - F.col("lo")), "trail": _encoded(F.col("hi") - F.col("trail_start")), "encoded": _encoded(whole)})
+    made = writers.assemble(edged, ["file_id", "q"]).lateralJoin(flac.flac_frames(F.col("data").outer()))
+    return made.groupBy("file_id", "q", "method", "ok").agg(F.count("frame_index").alias("n_frames"), F.sum("sample_count").alias("samples"))
+
+
 @pandas_udf("struct<back: string, same: boolean, samples: int>")
 def _renumbered(number, samples):
     import pandas as pd
