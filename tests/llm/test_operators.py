@@ -226,6 +226,45 @@ def test_simhash_by_brute_force(spark, docs):
     assert (simhash.forest(a, b, len(pts)) == want).all()
 
 
+def edited(rng, text, share):
+    return " ".join(f"new{rng.randint(0, 10**6)}" if rng.random() < share else w for w in text.split(" "))
+
+
+def test_similar_documents_by_brute_force(spark):
+    """Documents are linked at a Jaccard similarity of 0.8 of their five-word shingles or at four bits, and at nothing else."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(150):
+        base = sentence(rng, rng.randint(40, 400))
+        rows += [base, *(edited(rng, base, share) for share in (0.005, 0.01, 0.02, 0.03, 0.06))]
+    rows = [*enumerate(rows), (5000, None), (5001, ""), (5002, "a b"), (5003, "A b"), (None, rows[0]), (0, rows[0])]
+    crowd = sentence(rng, 300)
+    rows += [(6000 + i, edited(rng, crowd, 0.004)) for i in range(300)]  # one large group
+    got = simhash.near_duplicates(frame(spark, rows), width=5, similarity=0.8).collect()
+    assert len(got) == len(rows)
+    of = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows if i is not None}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows if i is not None}
+    links = [(a, b) for a in sets for b in sets if a < b and ((sets[a] or sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 4)]
+    ids = sorted(sets)
+    at = {d: k for k, d in enumerate(ids)}
+    root = simhash.forest(np.array([at[a] for a, _ in links]), np.array([at[b] for _, b in links]), len(ids))
+    want = {d: ids[root[at[d]]] for d in ids}
+    assert all(want[d] == want[of[d]] for d in ids)  # no link too many
+    single = [(a, b) for a, b in links if b < 5000]
+    assert sum(of[a] == of[b] for a, b in single) >= 0.97 * len(single)
+    assert {of[6000 + i] for i in range(300)} == {6000} and of[5000] == of[5001] == 5000 and of[5002] == of[5003] == 5002
+    assert [r.stays for r in got if r.doc_id == 0] == [True, True] and [r.stays for r in got if r.doc_id is None] == [False]
+    assert simhash.near_duplicates(frame(spark, []), width=5, similarity=0.8).count() == 0
+
+
+def test_pivots_reach_all(spark):
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 2**63, 30).repeat(8) ^ (1 << rng.integers(0, 62, 240))
+    pairs = [(a, b) for x, y in simhash.pivot_links(fp, 4) for a, b in zip(x, y, strict=True)]
+    assert {int(a) for a, _ in pairs} == set(range(240)) and max(int(fp[a] ^ fp[b]).bit_count() for a, b in pairs) <= 4
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)]
