@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,44 +12,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklight.llm.common import materialise, prepare, table, texts
-from tracklight.llm.pretokens import word_level
+from tracklight.llm.tokens import WordTokens
 
-#: Token sequences a worker keeps per pre-token; beyond that it starts anew.
-CACHE = 500_000
+PIECE = ("doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens")
+_loaded: dict[tuple, object] = {}
 
 
-class WordTokens:
-    """Ids of whole texts as little-endian 32-bit bytes, with the library's encoding of each pre-token kept."""
+def full_first(n: int, capacity: int) -> range:
+    """Where the pieces of a text of n ids begin: all full but the last."""
+    return range(0, n, capacity)
 
-    def __init__(self, path: str, end: int) -> None:
-        from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.end = np.uint32(end).tobytes()
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        cut = [word_level(t) for t in batch]
-        keys = self.known.keys()
-        new = list({w for c in cut if c is not None for w in set(c) if w not in keys})
-        self.known.update(zip(new, self._library(new), strict=True))
-        get = self.known.__getitem__
-        return [(b"".join(map(get, c)) if c is not None else self._library([t])[0]) + self.end for t, c in zip(batch, cut, strict=True)]
-
-
-_loaded: dict[tuple[str, int], WordTokens] = {}
-
-
-def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """One row per piece of at most `capacity` ids: full pieces and a rest for each document, with the piece's rank among the
-    pieces of its length in its partition."""
+def cut_pieces(docs: DataFrame, coder: type, vocabulary: str, end_id: int, capacity: int, cut: Callable[[int, int], range]) -> DataFrame:
+    """One row per piece of at most `capacity` ids, cut where `cut` says, with the piece's rank among the pieces of its length in
+    its partition."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -56,24 +33,24 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
 
         from tracklight.llm import packing
 
-        at = (vocabulary, end_id)
+        at = (coder, vocabulary, end_id)
         if at not in packing._loaded:
-            packing._loaded[at] = packing.WordTokens(*at)
-        coder, part, seen = packing._loaded[at], TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+            packing._loaded[at] = coder(vocabulary, end_id)
+        tokens, part, seen = packing._loaded[at], TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 rows = b.slice(lo, 200)
                 out: list[tuple] = []
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), coder.encode(rows.column("text").to_pylist()), strict=True):
-                    n = len(ids) // 4
-                    for s in range(0, n, capacity):
-                        e = min(n, s + capacity)
-                        out.append((doc, s, e - s, zlib.crc32(memoryview(ids)[4 * s : 4 * e]), n, part, int(seen[e - s])))
+                for doc, ids in zip(rows.column("doc_id").to_pylist(), tokens.encode(rows.column("text").to_pylist()), strict=True):
+                    starts = cut(len(ids), capacity)
+                    for k, s in enumerate(starts):
+                        e = starts[k + 1] if k + 1 < len(starts) else len(ids)
+                        out.append((doc, k, s, e - s, zlib.crc32(ids[s:e]), len(ids), part, int(seen[e - s])))
                         seen[e - s] += 1
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*PIECE, "part", "local_rank"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, local_rank long")
+    return texts(docs).mapInArrow(run, ", ".join(f"{c} long" for c in (*PIECE, "part", "local_rank")))
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> np.ndarray:
@@ -104,34 +81,40 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(slots), np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:
-    """Every id of every document in exactly one piece, and each piece in a sequence of at most `capacity` ids.
+def place(pieces: DataFrame, layout: Callable[[dict[int, int]], np.ndarray]) -> DataFrame:
+    """Pieces (a written table) with sequence_id and offset.  layout makes slots from the histogram of lengths: rows (length,
+    first rank, first sequence, offset), sorted, each for the ranks up to the next row of its length.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A null or empty text has the end id alone;
-    repeated rows are packed row by row; other columns are ignored; an empty table gives an empty result.  The driver sees the
-    histogram alone (at most `capacity` rows); the slots made from it are as bounded and go to the workers.  A piece's rank
-    among those of its length is its rank in its partition plus the sum of earlier partitions, so no length, however common,
-    meets in one task.
+    The driver sees the histogram alone; the slots made from it go to the workers.  A piece's rank among those of its length is
+    its rank in its partition plus the sum of earlier partitions, so no length, however common, meets in one task.
     """
-    spark = docs.sparkSession
-    pieces = materialise(cut_pieces(docs, vocabulary, end_id, capacity), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.sparkContext.broadcast(shortest_pack_first(histogram, capacity))
+    slots = pieces.sparkSession.sparkContext.broadcast(layout(histogram))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local_rank")).alias("rank"))
+    ranked = pieces.join(base, ["part", "length"]).select(*PIECE, (F.col("base") + F.col("local_rank")).alias("rank"))
 
-    def place(batches):
+    def put(batches):
         s = slots.value
         keys = s[:, 0] * (1 << 40) + s[:, 1]
         for b in batches:
             length, rank = (np.asarray(b.column(c)) for c in ("length", "rank"))
             k = np.searchsorted(keys, length * (1 << 40) + rank, side="right") - 1
-            cols = [b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s[k, 2] + rank - s[k, 1]), pa.array(s[k, 3])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in PIECE), pa.array(s[k, 2] + rank - s[k, 1]), pa.array(s[k, 3])], names=[*PIECE, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(put, ", ".join(f"{c} long" for c in (*PIECE, "sequence_id", "offset")))
+
+
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:
+    """Every id of every document in exactly one piece, and each piece in a sequence of at most `capacity` ids.
 
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A null or empty text has the end id alone;
+    repeated rows are packed row by row; other columns are ignored; an empty table gives an empty result; a text may have any
+    length.  The driver sees at most `capacity` histogram rows.
+    """
+    pieces = materialise(cut_pieces(docs, WordTokens, vocabulary, end_id, capacity, full_first), "pieces")
+    return place(pieces, lambda h: shortest_pack_first(h, capacity)).drop("piece")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
