@@ -121,11 +121,11 @@ def prove(leaves: DataFrame) -> DataFrame:
 
     joined = lambda keep: lambda step: F.array_join(F.transform(F.filter("found", lambda x: (x["step"] == step) & keep(x)), lambda x: x["digest"]), "")
     before, after = joined(lambda x: x["idx"] < x["place"]), joined(lambda x: x["idx"] > x["place"])
-    path = F.transform(F.array_distinct(F.transform("found", lambda x: x["step"])), lambda s: F.struct(s.alias("step"), before(s).alias("b"), after(s).alias("a")))
-    none = F.array().cast("array<struct<step: int, b: string, a: string>>")
+    path = F.transform("steps", lambda s: F.struct(s["step"].alias("step"), before(s["step"]).alias("b"), after(s["step"]).alias("a")))  # a step may be without siblings
     fold = lambda start, over: F.aggregate(over, start, lambda acc, s: digest(s["b"], acc, s["a"]))
     own = F.when(F.col("width") == 1, F.col("leaves")[0]["leaf"]).otherwise(run_digest)
-    whole = runs.join(found, ["tree", "run"], "left").select("width", "leaves", F.coalesce(path, none).alias("path")).withColumns({"subroot": fold(own, F.filter("path", lambda s: s["step"] < 100)), "above": F.array_join(F.transform("path", lambda s: F.concat(s["b"], s["a"])), "")})
+    none = F.array().cast(found.schema["found"].dataType)
+    whole = runs.withColumn("steps", steps).join(found, ["tree", "run"], "left").withColumn("found", F.coalesce("found", none)).select("width", "leaves", path.alias("path")).withColumns({"subroot": fold(own, F.filter("path", lambda s: s["step"] < 100)), "above": F.array_join(F.transform("path", lambda s: F.concat(s["b"], s["a"])), "")})
     each = whole.select("width", "subroot", "above", "path", "leaves", F.posexplode("leaves").alias("at", "x"))
     part = lambda start, size: F.array_join(F.transform(F.slice("leaves", start, size), lambda x: x["leaf"]), "")
     each = each.select("width", "subroot", "above", "path", "x.*", part(F.lit(1), F.col("at")).alias("b"), part(F.col("at") + 2, F.greatest(F.size("leaves") - F.col("at") - 1, F.lit(0))).alias("a"))
@@ -136,3 +136,30 @@ def prove(leaves: DataFrame) -> DataFrame:
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """The same rows in DuckDB's SQL; the checksum that picks rows to tamper with is built from its polynomial."""
+    upper = "".join(map(chr, range(65, 91)))
+    joined = lambda text: " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in (*LEAF[:-1], text))
+    up = f"level + 1, idx // {GROUP}, (width + {GROUP - 1}) // {GROUP}, sha256(string_agg(digest, '' order by idx))"
+    grouped = f"group by tree, level, width, idx // {GROUP}"
+    return f"""with recursive byte as materialized (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda x, y: case when (x & 1) = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as t),
+docs as materialized (select row_number() over () as r, doc_id, coalesce('=' || source, '') as src, sha256({joined("text")}) as leaf,
+  case when text is not null and xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda x, b: xor(t[(xor(x, b) & 255) + 1], x >> 8)), 4294967295) % 5 = 0
+  then sha256({joined(f"translate(text, '{upper}', '{upper.lower()}')")}) end as tampered from documents, byte),
+sources as materialized (select src, row_number() over (order by src) - 1 as tree, count(*) as width from docs group by src),
+leaves as materialized (select r, doc_id, leaf, tampered, tree, width, row_number() over (partition by src order by doc_id nulls first, leaf) - 1 as idx from docs join sources using (src)),
+nodes(tree, level, idx, width, digest) as (select tree, 0, idx, width, leaf from leaves union all select tree, {up} from nodes where width > 1 {grouped}),
+tops(tree, level, idx, width, digest) as (select -1::bigint, 0, tree, (select count(*) from sources), digest from nodes where width = 1 union all select tree, {up} from tops where width > 1 {grouped}),
+inner_nodes as materialized (select * from nodes where width > 1 union all select * from tops where width > 1),
+siblings as materialized (select x.tree, x.level, x.idx, coalesce(string_agg(y.digest, '' order by y.idx) filter (where y.idx < x.idx), '') as before, coalesce(string_agg(y.digest, '' order by y.idx) filter (where y.idx > x.idx), '') as after
+  from inner_nodes x join inner_nodes y on x.tree = y.tree and x.level = y.level and x.idx // {GROUP} = y.idx // {GROUP} group by 1, 2, 3),
+steps as materialized (select r, before, after, row_number() over (partition by r order by step) as k from (
+  select r, before, after, s.level as step from leaves l join siblings s on s.tree = l.tree and s.idx = l.idx // (1::bigint << (4 * s.level))
+  union all select r, before, after, s.level + 100 from leaves l join siblings s on s.tree = -1 and s.idx = l.tree // (1::bigint << (4 * s.level)))),
+folds(r, k, digest) as (select r, 0::bigint, coalesce(tampered, leaf) from leaves union all select f.r, s.k, sha256(s.before || f.digest || s.after) from folds f join steps s on s.r = f.r and s.k = f.k + 1),
+folded as (select r, arg_max(digest, k) as folded_root from folds group by r),
+proofs as (select r, sha256(string_agg(before || after, '' order by k)) as proof from steps group by r)
+select l.doc_id, l.leaf, n.digest as subroot, o.digest as root, coalesce(proof, sha256('')) as proof_sha256, folded_root, folded_root = o.digest as verified
+from leaves l join folded using (r) left join proofs using (r) join nodes n on n.tree = l.tree and n.width = 1 join tops o on o.width = 1"""
