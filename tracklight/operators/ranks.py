@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _PART = "_part"
 
 
-def gapless_rank(rows: DataFrame, order: list[str | Column], within: list[str] | None = None, name: str = "rank", stored: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+def gapless_rank(rows: DataFrame, order: list[str | Column], within: list[str] | None = None, name: str = "rank", stored: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """rows with `name`, 0, 1, 2, … in `order` among the rows that share the columns of `within` (without nulls; none: all rows).
 
     The rows are sorted by range, and `stored` cuts the lineage there, so that counts and ranks are of the same ranges; a rank is

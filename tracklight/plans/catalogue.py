@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +11,9 @@ from tracklight.functions import time as tm
 from tracklight.functions.udfs import pandas_udf
 from tracklight.operators import frames as fr
 from tracklight.operators import jobs, matching, planning, ranges, writers
-from tracklight.plans.inputs import FRAMES, LIBRARY, QUARTERS, TRACKS, frames, library, quarters, table, tracks
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from tracklight.plans import files  # noqa: F401  (its queries register themselves)
+from tracklight.plans.inputs import FRAMES, LIBRARY, QUARTERS, TRACKS, encoded, flac_file, flac_header, frames, library, quarters, sheets, table, tracks
+from tracklight.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _line_time(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.format_string("%02d:%02d:%02d", F.col("l_quantity").cast("int"), F.col("l_partkey") % 60, F.col("l_suppkey") % 75).alias("raw"))
@@ -178,9 +162,9 @@ def job_state(spark, sf):
     return g.select("user_id", "good", "bad", "state", jobs.summary(F.col("good"), F.col("bad"), F.col("edge")).alias("summary"), F.round(jobs.progress(done, done + 1, F.col("state")), 6).alias("progress"))
 
 
-@query("""with j as (select c_custkey as job_id, case c_custkey % 6 when 0 then 'Running' when 1 then 'Pending' when 2 then 'Failed' when 3 then 'Cancelled' when 4 then 'PartialSuccess' else 'Succeeded' end as was from customer)
-select job_id, case when job_id % 2 = 0 and was = 'Running' then 'Cancelling' when job_id % 2 = 0 and was = 'Pending' then case when job_id % 3 = 0 then 'Pending' else 'Cancelled' end when job_id % 3 = 0 and was in ('Failed', 'Cancelled', 'PartialSuccess') then 'Pending' else was end as state,
-case when job_id % 3 = 0 and was in ('Failed', 'Cancelled', 'PartialSuccess') then 0.0::double else 0.5::double end as progress, case when job_id % 2 = 0 and was = 'Running' then true when job_id % 3 = 0 and was in ('Failed', 'Cancelled', 'PartialSuccess') then true else was in ('Running', 'Pending') end as active from j""")
+@query("""with j as (select c_custkey as job_id, case c_custkey % 6 when 0 then 'Running' when 1 then 'Pending' when 2 then 'Failed' when 3 then 'Cancelled' when 4 then 'PartialSuccess' else 'Succeeded' end as was from customer),
+s as (select job_id, was, case when job_id % 2 = 0 and was in ('Running', 'Pending') then 'Cancelling' when job_id % 3 = 0 and was in ('Failed', 'Cancelled', 'PartialSuccess') then 'Pending' else was end as state from j)
+select job_id, state, case when job_id % 3 = 0 and was in ('Failed', 'Cancelled', 'PartialSuccess') then 0.0::double else 0.5::double end as progress, state in ('Running', 'Pending', 'Cancelling') as active from s""")
 def job_transitions(spark, sf):
     """Jobs of all states; even ones are cancelled, then multiples of three are tried again."""
     key = F.col("job_id")
@@ -384,17 +368,9 @@ def tag_map(spark, sf):
     return rows.select("c_custkey", F.array_join(F.transform(T.tag_pairs(*_named_track()), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "|").alias("tags"))
 
 
-def _sheets(spark, sf) -> DataFrame:
-    """A sheet text for each conversation."""
-    mmssff = lambda n: F.format_string("%02d:%02d:%02d", tm.div(n, 4500), tm.div(n, 75) % 60, n % 75)
-    line = F.concat(F.lit("  TRACK "), F.lpad((F.col("track_index") % 90 + 1).cast("string"), 2, "0"), F.lit(' AUDIO\n    TITLE "Turn '), F.col("track_index").cast("string"), F.lit('"\n    INDEX 01 '), mmssff(tm.div(F.col("start"), 1000)))
-    rows = tracks(spark, sf).select("album_id", "track_index", line.alias("line")).groupBy("album_id").agg(F.array_sort(F.collect_list(F.struct("track_index", "line"))).alias("l"))
-    return rows.select("album_id", F.concat(F.lit('REM DATE 1999\nTITLE "Album '), F.col("album_id").cast("string"), F.lit('"\nFILE "a b.flac" WAVE\n'), F.array_join(F.transform("l", lambda x: x["line"]), "\r\n")).alias("text"))
-
-
 @query(f"with {TRACKS} select album_id, 'Album ' || album_id as album, '1999' as date, 'a b.flac' as file, (row_number() over (partition by album_id order by track_index) - 1)::int as pos, (track_index % 90 + 1)::int as number, 'Turn ' || track_index as title, (start // 1000) * 44100 // 75 as start_sample from tracks")
 def cue_parse_roundtrip(spark, sf):
-    p = _sheets(spark, sf).select("album_id", cue.parse_cue("text").alias("p"))
+    p = sheets(spark, sf).select("album_id", cue.parse_cue("text").alias("p"))
     t = p.select("album_id", F.col("p.sheet.title").alias("album"), F.col("p.sheet.date").alias("date"), F.element_at("p.sheet.files", 1)["name"].alias("file"), F.posexplode(cue.all_tracks(F.col("p.sheet"))).alias("pos", "t"))
     ix = tm.start_index(F.col("t.indexes"))
     return t.withColumn("ix", ix).select("album_id", "album", "date", "file", "pos", "t.number", "t.title", tm.to_samples(tm.sectors(F.col("ix.m"), F.col("ix.s"), F.col("ix.f"))).alias("start_sample"))
@@ -420,39 +396,18 @@ def charset_probe(spark, sf):
     return table(spark, sf, "documents").select("doc_id", charset.probe_charset(F.encode("text", "UTF-8")).alias("p")).select("doc_id", "p.*")
 
 
-@pandas_udf("binary")
-def _header(rate, channels, bits, total, tag):
-    import pandas as pd
-
-    info = {"min_block": 4096, "max_block": 4096, "min_frame": 0, "max_frame": 0}
-    return pd.Series([flac.container(info | {"sample_rate": int(r), "channels": int(c), "bits_per_sample": int(b), "total_samples": int(n)}, [t]) for r, c, b, n, t in zip(rate, channels, bits, total, tag, strict=True)])
-
-
 @query("select p_partkey, (8000 + p_size * 1000)::int as sample_rate, (p_partkey % 8 + 1)::int as channels, (p_partkey % 29 + 4)::int as bits_per_sample, p_partkey * 1000003 as total_samples, p_name as title from part")
 def flac_metadata_roundtrip(spark, sf):
     k = F.col("p_partkey")
-    made = table(spark, sf, "part").select("p_partkey", _header(8000 + F.col("p_size") * 1000, k % 8 + 1, k % 29 + 4, k * 1_000_003, F.concat(F.lit("Title="), "p_name")).alias("data"))
+    made = table(spark, sf, "part").select("p_partkey", flac_header(8000 + F.col("p_size") * 1000, k % 8 + 1, k % 29 + 4, k * 1_000_003, F.concat(F.lit("Title="), "p_name")).alias("data"))
     m = made.select("p_partkey", flac.flac_metadata("data").alias("m"))
     title = F.try_element_at(F.filter("m.comments", lambda c: F.lower(c["k"]) == "title"), F.lit(1))["v"]
     return m.select("p_partkey", "m.info.sample_rate", "m.info.channels", "m.info.bits_per_sample", "m.info.total_samples", title.alias("title"))
 
 
-@pandas_udf("binary")
-def _file_of(counts):
-    import pandas as pd
-
-    out = []
-    for blocks in counts:
-        blocks = [int(b) for b in blocks]
-        audio = b"".join(flac.make_frame(b, i, bytes((b + j) % 256 for j in range(b // 10))) for i, b in enumerate(blocks))
-        info = {"min_block": min(blocks), "max_block": max(blocks), "min_frame": 0, "max_frame": 0, "sample_rate": 44_100, "channels": 2, "bits_per_sample": 16, "total_samples": sum(blocks)}
-        out.append(flac.container(info, [], audio))
-    return pd.Series(out)
-
-
 def _files(spark, sf) -> DataFrame:
     blocks = frames(spark, sf).groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "sample_count"))), lambda x: x["sample_count"]).alias("b"))
-    return blocks.select("file_id", _file_of("b").alias("data"))
+    return blocks.select("file_id", flac_file("b").alias("data"))
 
 
 @query(f"with {FRAMES} select file_id, frame_index::int as frame_index, start_sample, sample_count::int as sample_count from frames")
@@ -461,16 +416,6 @@ def flac_frames_roundtrip(spark, sf):
     return f.select("file_id", "frame_index", "start_sample", "sample_count")
 
 
-@pandas_udf("binary")
-def _encoded(samples):
-    """What an encoder would make of so many samples: a file of one frame."""
-    import pandas as pd
-
-    info = {"min_frame": 0, "max_frame": 0, "sample_rate": 44_100, "channels": 2, "bits_per_sample": 16}
-    one = lambda n: flac.container(info | {"min_block": n, "max_block": n, "total_samples": n}, [], flac.make_frame(n, 0, b"edge"))
-    return pd.Series([one(int(n)) if n == n and n is not None else None for n in samples])
-
-
 @query(f"""{_SLICE}, hit as (select q.file_id, q.q, q.lo, q.hi, min(start_sample) as a, max(start_sample + sample_count) as z, count(*) filter (where start_sample >= lo and start_sample + sample_count <= hi) as n from quarters q join frames f on f.file_id = q.file_id and start_sample < hi and start_sample + sample_count > lo group by 1, 2, 3, 4)
  select file_id, q, case when a = lo and z = hi then 'FrameCopy' when n > 0 then 'HybridBoundary' else 'LosslessReencode' end as method, true as ok, case when n = 0 then 1 else n + (a < lo)::int + (z > hi)::int end as n_frames, hi - lo as samples from hit""")
 def track_files(spark, sf):
@@ -479,7 +424,7 @@ def track_files(spark, sf):
     found = files.lateralJoin(flac.flac_frames(F.col("data").outer())).drop("data", "error")
     parts = writers.split(files.withColumnRenamed("data", "content"), found, quarters(frames(spark, sf)), "file_id")
     whole = F.when(F.col("method") == planning.REENCODE, F.col("hi") - F.col("lo"))
-    edged = parts.withColumns({"lead": _encoded(F.col("lead_end") - F.col("lo")), "trail": _encoded(F.col("hi") - F.col("trail_start")), "encoded": _encoded(whole)})
+    edged = parts.withColumns({"lead": encoded(F.col("lead_end") - F.col("lo")), "trail": encoded(F.col("hi") - F.col("trail_start")), "encoded": encoded(whole)})
     made = writers.assemble(edged, ["file_id", "q"]).lateralJoin(flac.flac_frames(F.col("data").outer()))
     return made.groupBy("file_id", "q", "method", "ok").agg(F.count("frame_index").alias("n_frames"), F.sum("sample_count").alias("samples"))
 
@@ -505,15 +450,10 @@ def renumber_roundtrip(spark, sf):
 
 def flagship(spark, sf):
     """Sheets parsed, tracks ranged, planned and counted by method."""
-    p = _sheets(spark, sf).select("album_id", cue.parse_cue("text").alias("p"))
+    p = sheets(spark, sf).select("album_id", cue.parse_cue("text").alias("p"))
     t = p.select("album_id", F.posexplode(cue.all_tracks(F.col("p.sheet"))).alias("track_index", "t")).withColumn("ix", tm.start_index(F.col("t.indexes")))
     start = tm.to_samples(tm.sectors(F.col("ix.m"), F.col("ix.s"), F.col("ix.f")))
     totals = tracks(spark, sf).groupBy("album_id").agg(tm.to_samples(tm.div(F.max("total"), 1000)).alias("total"))
     r = ranges.track_ranges(t.select("album_id", "track_index", start.alias("start")).join(totals, "album_id"))
     ok = planning.aligned_heuristic(F.col("start_sample"), F.lit(4096), F.col("total")) & planning.aligned_heuristic(F.col("end_sample"), F.lit(4096), F.col("total"))
     return planning.histogram(r.select(planning.plan(ok)[0].alias("method")))
-
-
-@query(f"with {TRACKS}, s as (select album_id, track_index, (start // 1000) * 44100 // 75 as a, (total // 1000) * 44100 // 75 as t from tracks), r as (select *, coalesce(lead(a) over (partition by album_id order by track_index), t) as z from s) select case when (a = 0 or a = t or a % 4096 = 0) and (z = 0 or z = t or z % 4096 = 0) then 'FrameCopy' else 'HybridBoundary' end as method, count(*) as n from r group by 1")
-def library_to_plan(spark, sf):
-    return flagship(spark, sf)
