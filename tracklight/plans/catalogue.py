@@ -63,9 +63,12 @@ def frame_boundaries(spark, sf):
 
 
 _SLICE = f"with {FRAMES}, {QUARTERS}"
+#: Each quarter with the boundaries at its ends, by one join on the file alone.
+_ENDS = f"""{_SLICE}, ends as (select q.file_id, q.q, q.lo, q.hi, max(case when b.sample = q.lo then b.frame_index end) as f0, max(case when b.sample = q.hi then b.frame_index end) as f1,
+ max(case when b.sample = q.lo then b.byte_offset end) as b0, max(case when b.sample = q.hi then b.byte_offset end) as b1 from quarters q join bounds b on b.file_id = q.file_id group by q.file_id, q.q, q.lo, q.hi)"""
 
 
-@query(f"{_SLICE} select q.file_id, q.lo, q.hi, a.sample is not null and z.sample is not null as aligned, case when z.sample is not null then a.frame_index end as first_frame, z.frame_index - a.frame_index as n_frames, case when z.sample is not null then a.byte_offset end as byte_offset, z.byte_offset - a.byte_offset as byte_length from quarters q left join bounds a on a.file_id = q.file_id and a.sample = q.lo left join bounds z on z.file_id = q.file_id and z.sample = q.hi")
+@query(f"{_ENDS} select file_id, lo, hi, f0 is not null and f1 is not null as aligned, case when f1 is not null then f0 end as first_frame, f1 - f0 as n_frames, case when f1 is not null then b0 end as byte_offset, b1 - b0 as byte_length from ends")
 def frame_slice(spark, sf):
     f = frames(spark, sf)
     return fr.slices(quarters(f).select("file_id", "lo", "hi"), f, "file_id")
@@ -122,7 +125,7 @@ def split_plan_heuristic(spark, sf):
     return _planned(spark, sf)
 
 
-@query(f"{_SLICE} select q.file_id, q.q, case when a.sample is not null and z.sample is not null then 'FrameCopy' else 'HybridBoundary' end as method from quarters q left join bounds a on a.file_id = q.file_id and a.sample = q.lo left join bounds z on z.file_id = q.file_id and z.sample = q.hi")
+@query(f"{_ENDS} select file_id, q, case when f0 is not null and f1 is not null then 'FrameCopy' else 'HybridBoundary' end as method from ends")
 def split_plan_indexed(spark, sf):
     f = frames(spark, sf)
     return fr.slices(quarters(f), f, "file_id").select("file_id", "q", planning.plan(F.col("aligned"))[0].alias("method"))
