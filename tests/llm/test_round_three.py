@@ -225,3 +225,112 @@ def test_manifest_equals_sql(spark):
     c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     got = {tuple(r[k] for k in COLUMNS) for r in merkle.op13_merkle(spark, sf).collect()}
     assert got == {tuple(r) for r in c.sql(f"select {', '.join(COLUMNS)} from ({merkle.oracle()})").fetchall()}
+
+
+def site(rng, n, host="h"):
+    """Pages with unmarked text only: a menu on all, paragraphs on shares of them, and own text."""
+    menu = sentence(rng, 12)
+    shared = {k: sentence(rng, 30) for k in (2, 3, 4, n // 5 - 1, n // 5, n // 3, n // 2)}
+    out = []
+    for i in range(n):
+        some = [t for k, t in shared.items() if i < k]
+        out.append((i, f"http://{host}/{i}", [menu, sentence(rng, 20), *some, sentence(rng, 9)], [menu, *some]))
+    return out, menu, shared
+
+
+def brute_text(pages):
+    """Blocks of which nine tenths lie in runs of eight tokens that a fifth of the pages have, and four at least, go."""
+    runs = [Counter() for _ in pages]
+    streams = [[w for b in blocks for w in [*b.split(), "\n"]] for _, _, blocks, _ in pages]
+    for c, s in zip(runs, streams, strict=True):
+        c.update({tuple(s[i : i + 8]) for i in range(len(s) - 7)})
+    count = Counter(r for c in runs for r in c)
+    often = {r for r, n in count.items() if n >= max(4, math.ceil(len(pages) / 5))}
+    out = {}
+    for (i, _, blocks, _), s in zip(pages, streams, strict=True):
+        hit = [False] * len(s)
+        for k in range(len(s) - 7):
+            if tuple(s[k : k + 8]) in often:
+                hit[k : k + 8] = [True] * 8
+        at, keep = 0, []
+        for b in blocks:
+            m = len(b.split())
+            if sum(hit[at : at + m]) < 0.9 * m:
+                keep.append(b)
+            at += m + 1
+        out[i] = " ".join(keep)
+    return out
+
+
+@pytest.mark.parametrize("n", [6, 12, 65])
+def test_boilerplate_is_the_same_whatever_the_slices(spark, n):
+    from tracklight.llm import htmltext
+
+    pages, menu, _ = site(random.Random(n), n)
+    html = [(i, u, "".join(f"<div>{b}</div>" for b in blocks)) for i, u, blocks, _ in pages]
+    want = brute_text(pages)
+    assert not any(menu in t for t in want.values())
+    for chars in (htmltext.SLICE, 4000, 1):
+        got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(html, "page_id long, url string, html string"), chars).collect()}
+        assert got == want
+
+
+def test_text_of_few_pages_stays(spark):
+    from tracklight.llm import htmltext
+
+    rng = random.Random(3)
+    twice = sentence(rng, 30)
+    rows = [(i, f"http://h/{i}", f"<div>{sentence(rng, 25)}</div>" + (f"<p>{twice}</p>" if i < 2 else "")) for i in range(6)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert twice in got[0] and twice in got[1]
+
+
+def test_class_words_take_nothing_from_articles():
+    from tracklight.llm.htmltext import blocks, decided
+
+    page = '<h1>Beside</h1><article><header class="post-header"><h1>Title</h1></header><p class="legal">One</p><div class="copyright-law side"><p>Two</p></div><div class="ad">no</div><aside>no</aside><div class="Comments">no</div><footer>no</footer></article><div class="side-bar">no</div><div>Last</div><header>no</header>'
+    none = np.zeros(0, np.uint64)
+    assert decided(blocks(page), none, none)[0] == "Beside Title One Two Last"
+
+
+def test_crowded_passages_are_found(spark):
+    """Copies with 12 % of the words changed, whose passage's ten-word phrases stand in an earlier and a later document each."""
+    from tracklight.llm import passages
+
+    rng = random.Random(21)
+    data, copies = [], []
+    for k in range(40):
+        passage = sentence(rng, 100).split()
+        base = 1000 * k
+        phrases = [passage[i : i + 10] for i in range(0, 91, 5)]
+        data += [(base + i, f"{sentence(rng, 30)} {' '.join(x)} {sentence(rng, 30)}") for i, x in enumerate(phrases)]
+        data.append((base + 100, f"{sentence(rng, 30)} {' '.join(passage)} {sentence(rng, 30)}"))
+        data += [(base + 200 + i, f"{sentence(rng, 30)} {' '.join(x)} {sentence(rng, 30)}") for i, x in enumerate(phrases)]
+        changed = set(rng.sample(range(100), 12))
+        data.append((base + 300, f"{sentence(rng, 20)} {' '.join('new' + w if i in changed else w for i, w in enumerate(passage))} {sentence(rng, 20)}"))
+        copies.append(base + 300)
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = [sum(max(0, min(s["end"], 120) - max(s["start"], 20)) for s in got[c].spans) for c in copies]
+    assert sum(f >= 80 for f in found) >= 36, sorted(found)
+    assert not any(got[i].n_dup_words for i, _ in data if i % 1000 < 100 or 200 <= i % 1000 < 300)
+
+
+def test_links_in_parts_are_those_of_the_whole():
+    from tracklight.llm.passages import RARE, star
+
+    rng = np.random.default_rng(5)
+    n = 4000
+    h = np.append(rng.integers(0, 900, n - 300), np.full(300, 7)).astype(np.uint64)
+    doc, pos = rng.integers(0, 400, n), rng.integers(0, 50, n).astype(np.int32)
+    pairs = lambda links: set(zip(*(links[c].tolist() for c in ("doc", "src")), strict=True))
+    whole, _ = star(h, doc, pos)
+    rest, got = np.zeros(0, np.int64), []
+    for part in np.array_split(np.arange(n), 7):
+        at = np.concatenate([rest, part])
+        links, stay = star(h[at], doc[at], pos[at], old=len(rest))
+        got.append(pairs(links))
+        rest = at[stay]
+    docs_of = {k: sorted(set(doc[h == k].tolist())) for k in range(900)}
+    all_pairs = {(b, a) for d in docs_of.values() if len(d) <= RARE for i, b in enumerate(d) for a in d[:i]}
+    assert all_pairs <= pairs(whole) and all_pairs <= set().union(*got)
+    assert pairs(whole) <= all_pairs | {(b, a) for d in docs_of.values() if len(d) > RARE for i, b in enumerate(d) for a in (d[0], d[i - 1]) if i}

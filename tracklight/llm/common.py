@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
+import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -50,14 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Intermediate tables that are still there.
-_tables: set[str] = set()
+#: Intermediate tables that are still there, each with a weak reference to the file listing that all plans over it share.
+_tables: dict[str, object] = {}
+#: Seconds between looks for tables that no plan reads any more, and the last look.
+SWEEP = 15
+_swept = time.monotonic()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     if path not in _tables:
         return
-    _tables.discard(path)
+    del _tables[path]
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return  # the session has ended; the folder's owner cleans up
@@ -79,15 +84,18 @@ def _shuffles_end(spark: SparkSession):
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs nothing but
-    its running tasks.  The table goes with release() or when the driver ends."""
+    its running tasks.  The table goes with release(), after no DataFrame reads it any more, or when the driver ends."""
     spark = df.sparkSession
+    if time.monotonic() - _swept > SWEEP:
+        sweep(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     with _shuffles_end(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _tables.add(path)
-    atexit.register(functools.partial(_remove, spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    listing = out._jdf.queryExecution().analyzed().relation().location()
+    _tables[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(listing)
+    atexit.register(functools.partial(_remove, spark, path))
     return out
 
 
@@ -97,15 +105,17 @@ def release(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t.stored_at)
 
 
-def release_others(docs: DataFrame) -> None:
-    """Drop all materialised tables but those that docs reads."""
-    if not _tables:
-        return
-    plain = lambda p: re.sub(r"^[a-z][a-z0-9+.-]*:/+", "/", p)
-    read = [plain(f) for f in docs.inputFiles()]
-    for path in list(_tables):
-        if not any(f.startswith(plain(path) + "/") for f in read):
-            _remove(docs.sparkSession, path)
+def sweep(spark: SparkSession) -> None:
+    """Drop the materialised tables that no DataFrame reads any more, whatever was made from them: those whose listing the JVM has
+    collected.  A session holds the plans of its last actions a little longer."""
+    global _swept
+    _swept = time.monotonic()
+    if _tables:
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
+        for path, listing in list(_tables.items()):
+            if listing.get() is None:
+                _remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.  DataFrame functions only.
 
-A paragraph is a line; a line of more than LONG characters is cut at places that its own words decide, so that an edit costs
-only its surroundings.  Each distinct paragraph is one key, a 64-bit hash.  A key is added to one cell in each of three parts of
+A paragraph is a line; a line of more than LONG characters is cut at places that the hashes of its own words decide (of its
+pairs of characters, in words of scripts without spaces), so that an edit costs only its surroundings, in any script.  Each distinct
+paragraph is one key, a 64-bit hash, so texts that differ in the order or the repeats of paragraphs alone have one fingerprint.  A key is added to one cell in each of three parts of
 the sketch; a cell holds the number, the XOR of the keys and the XOR of their check hashes.  A sketch is kept as a row for each
 cell that isn't empty, so that adding, subtracting and peeling are aggregates.  Subtracting two sketches cancels what the texts
 share, and peeling (a cell with one key gives it away and lets it be taken from its other cells) recovers the
@@ -16,15 +17,28 @@ from pyspark.sql import functions as F
 from tracklight.llm.common import materialise, release, table, texts
 
 #: Cells in each part of the smallest sketch, cells for each key, how often a pair of sketches is made larger, peeling rounds.
-LEAST, ROOM, RETRIES, ROUNDS = 8, 3, 4, 8
-#: Lines longer than this are cut before words with one of these first two letters, before sentences with one of these first
-#: letters, and within words of scripts without spaces.
-LONG, _CUT = 120, r"(?<=[\x20\x09])(?=[bfmpvBFMPV0-2\u0411\u0412\u0431\u0432][aeio0-9\u0430-\u0438])|(?<=[.!?][\x20\x09])(?=[ACEHLORT])|(?<=[\u4e00-\u503f\u3040-\u3044])"
+LEAST, ROOM, RETRIES, ROUNDS = 8, 4, 4, 6
+#: Lines longer than LONG are cut before one word in WORDS; words longer than UNBROKEN are cut before one character in
+#: CHARACTERS, by it and the next.
+LONG, WORDS, UNBROKEN, CHARACTERS = 120, 10, 24, 40
+_AFTER_SPACE, _CHARACTER = r"(?<=[\x20\x09])", r"(?![\uDC00-\uDFFF])"
+
+
+def _cut_line(line: Column) -> Column:
+    """The line in pieces, by its own words."""
+    cut = lambda t, key, one_in: F.when(F.pmod(key, F.lit(one_in)) == 0, F.concat(F.lit("\x00"), t)).otherwise(t)
+
+    def word(w: Column) -> Column:
+        chars = F.split(w, _CHARACTER)
+        following = F.concat(F.slice(chars, F.lit(2), F.size(chars)), F.array(F.lit("")))
+        return F.when(F.length(w) > UNBROKEN, F.array_join(F.zip_with(chars, following, lambda c, d: cut(c, F.xxhash64(c, d), CHARACTERS)), "")).otherwise(cut(w, F.xxhash64(w), WORDS))
+
+    return F.split(F.array_join(F.transform(F.split(line, _AFTER_SPACE), word), ""), "\x00")
 
 
 def paragraph_keys(text: Column) -> Column:
     """The distinct paragraphs' hashes, sorted."""
-    pieces = F.flatten(F.transform(F.split(text, "\n"), lambda p: F.when(F.length(p) > LONG, F.split(p, _CUT)).otherwise(F.array(p))))
+    pieces = F.flatten(F.transform(F.split(text, "\n"), lambda p: F.when(F.length(p) > LONG, _cut_line(p)).otherwise(F.array(p))))
     return F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
@@ -84,22 +98,22 @@ def likenesses(docs: DataFrame) -> DataFrame:
     """id, tag, pair (of PAIRS), found (paragraphs that only one of the two has) and tries (how many pairs of sketches it took;
     RETRIES + 2: the keys themselves).  docs: id, tag, own_keys, edited_keys, next_keys.
 
-    The first try subtracts the fingerprints' own sketches, the larger one as folded to the size of the smaller (a cell's place
-    in it is the rest of its place in the larger).  The first retry takes sketches with room for the keys of both, each further
-    one twice the cells, with other places; only pairs that failed are tried again.  What no try peels is settled by the keys.
+    The first try subtracts the fingerprints' own sketches, the smaller one made at the size of the larger: that has room for
+    the keys of both, as a fingerprint has ROOM cells for each key.  Each retry takes twice the cells, with other places; only
+    pairs that failed are tried again.  What no try peels is settled by the keys.
     """
     by, done = ["id", "tag", "pair"], None
     pairs = F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), F.col(f"{p}_keys").alias("other")) for p in PAIRS)))
     todo = docs.select("id", "tag", F.col("own_keys").alias("own"), pairs.alias("x")).select("id", "tag", "x.pair", "own", "x.other").where("own <> other")
     for k in range(RETRIES + 1):
-        size = F.least(sketch_size(F.size("own")), sketch_size(F.size("other"))) if k == 0 else sketch_size(F.size("own") + F.size("other")) * 2 ** (k - 1)
+        size = F.greatest(sketch_size(F.size("own")), sketch_size(F.size("other"))) * 2**k
         signed = F.concat(F.transform("own", lambda x: F.struct(x.alias("k"), F.lit(1).alias("n"))), F.transform("other", lambda x: F.struct(x.alias("k"), F.lit(-1).alias("n"))))
         keys = todo.repartition("id", "tag").select(*by, size.alias("size"), F.inline(signed))
         tried = materialise(peeled(sketches(keys, by, k), by, k), "peeled")
         good = tried.where("not failed").select(*by, "found", F.lit(k + 1).alias("tries"))
         done = good if done is None else done.unionByName(good)
         todo = todo.join(tried.where("failed").select(*by), by, "left_semi")
-        if k and tried.where("failed").isEmpty():
+        if tried.where("failed").isEmpty():
             return done
     rest = todo.select(*by, (F.size(F.array_except("own", "other")) + F.size(F.array_except("other", "own"))).cast("long").alias("found"), F.lit(RETRIES + 2).alias("tries"))
     return done.unionByName(rest)

@@ -1,8 +1,9 @@
 """Main text of web pages: blocks from the markup, and a suffix array per host for runs that pages of the host share.
 
-The tokens of all blocks of a host's pages, end to end, go into suffix arrays, a slice of pages each; what each slice finds on two
-or more of its pages is counted over the host.  A run on enough of the host's pages is boilerplate; blocks that such runs cover go,
-inside an article too where most pages have them, and of the rest the markup says which is the article.
+The tokens of all blocks of a host's pages, end to end, go into suffix arrays, a slice of pages each.  A run that two pages of any
+slice share is counted on all pages of the host; one on enough of them is boilerplate.  Blocks that such runs cover go, inside an
+article too where most pages have them; other text of an article and other unmarked text stays; of what is left the markup says
+what is a menu, a footer, an advert and the like.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from tracklight.llm.common import materialise, prepare, table
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object select".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that never hold the article, and words in class, id or role that mark such parts.
+#: Elements that never hold the article (a header inside an article holds its title), whole words in class or id that mean the
+#: same anywhere, and words in class, id or role that mark such parts outside articles.
 OUTSIDE = frozenset("nav header footer aside form menu dialog button head".split())
+PLAIN = frozenset("ad ads advert advertisement advertising sponsored comments comment-list disqus_thread".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|replies|disqus|pagination|pager|toolbar|skip|legal|copyright|search|login|navigation|complementary|contentinfo|alert)(?=$|[\s_-])", re.I)
 MAIN = frozenset(("article", "main"))
 
@@ -30,13 +33,28 @@ _tag = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b(?!\s*=)", re.I)
 
 
+#: Where a block stands: in a part that an element or a plain word names as no article; in one that a class word marks outside
+#: articles; in no marked part; in an article; in a part of an article that a class word marks.
+NO_ARTICLE, MARKED_OUTSIDE, UNMARKED, ARTICLE, MARKED_INSIDE = range(5)
+
+
+def _place(now: int, name: str, marks: str) -> int:
+    """The place within an element, from the place around it."""
+    if now == NO_ARTICLE or (name in OUTSIDE and not (name == "header" and now >= ARTICLE)) or " hidden " in f" {marks} " or (name not in ("html", "body") and not PLAIN.isdisjoint(marks.lower().split())):
+        return NO_ARTICLE
+    if name in MAIN:
+        return ARTICLE if now == UNMARKED else now
+    if marks and name not in ("html", "body") and MARKED.search(marks):
+        return {UNMARKED: MARKED_OUTSIDE, ARTICLE: MARKED_INSIDE}.get(now, now)
+    return now
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(place, text) of each block in page order.  place: 2 inside an article, 1 in no marked part, 0 in a part that the
-    markup itself names as something else.  Text has references decoded and white space made one space."""
+    """(place, text) of each block in page order.  Text has references decoded and white space made one space."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open block elements with the place that held outside them
     buf: list[str] = []
-    place, at, n = 1, 0, len(page)
+    place, at, n = UNMARKED, 0, len(page)
 
     def flush() -> None:
         if buf:
@@ -82,19 +100,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if m[3] and m[3].endswith("/") and name not in MAIN:
             continue
         marks = " ".join(a.strip("\"'") or b for a, b in _attr.findall(m[3])) if m[3] else ""
-        if name in OUTSIDE or (marks and name not in ("html", "body", *MAIN) and (MARKED.search(marks) or " hidden " in f" {marks} ")):
-            place = 0
-        elif name in MAIN and place:
-            place = 2
+        place = _place(place, name, marks)
     flush()
     return out
 
 
-#: Tokens of a run; share of a block that runs must cover; share of the host's pages (two at least) that make a run boilerplate
-#: outside and inside articles, and pages that the latter takes at least.
-DEPTH, COVERED, OFTEN, MOST, FEW = 8, 0.9, 0.02, 0.5, 4
-#: Characters of markup in a slice of a host.
-SLICE = 4_000_000
+#: Tokens of a run; share of a block that runs must cover; share of the host's pages that makes a run boilerplate outside and
+#: inside articles, and pages that either takes at least: two or three copies of a paragraph are none.
+DEPTH, COVERED, OFTEN, MOST, FEW = 8, 0.9, 0.2, 0.5, 4
+#: Characters of markup in a slice of a host, and pages that it holds at least: a run on a fifth of the pages is then on two pages
+#: of some slice.
+SLICE, LEAST_PAGES = 4_000_000, 6
 _U = np.uint64
 
 
@@ -172,17 +188,17 @@ def covered(h: np.ndarray, runs: np.ndarray, depth: int = DEPTH) -> np.ndarray:
 def decided(page: list[tuple[int, str]], often: np.ndarray, most: np.ndarray) -> tuple[str, list[int]]:
     """The main text of a page, and how many of its blocks boilerplate runs removed, the markup removed, and were kept.
 
-    often: runs that are boilerplate outside articles, most: those that are inside too.  Covered blocks go first.  Of the rest,
-    parts that the markup names as menus and the like go, and so does what stands beside an article of the same page.
+    often: runs that are boilerplate outside articles and in marked parts of them, most: those that are inside too.  Covered
+    blocks go.  Of the rest, what an element or a plain word names as no article goes, and outside articles what a class word
+    marks.
     """
     h, begins = token_hashes(page)
-    has_main, keep, n = any(p == 2 for p, _ in page), [], [0, 0, 0]
-    by = {2: covered(h, most)}
-    by[0] = by[1] = covered(h, often)
+    keep, n = [], [0, 0, 0]
+    wide, narrow = covered(h, often), covered(h, most)
     for (place, text), a, b in zip(page, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-        if by[place][a : b - 1].mean() >= COVERED:
+        if (narrow if place == ARTICLE else wide)[a : b - 1].mean() >= COVERED:
             n[0] += 1
-        elif place == 0 or (has_main and place == 1):
+        elif place in (NO_ARTICLE, MARKED_OUTSIDE):
             n[1] += 1
         else:
             n[2] += 1
@@ -190,13 +206,53 @@ def decided(page: list[tuple[int, str]], often: np.ndarray, most: np.ndarray) ->
     return " ".join(keep), n
 
 
+def pages_with(streams: list[np.ndarray], runs: np.ndarray) -> np.ndarray:
+    """On how many of the pages (token hashes) each of the runs (their hashes, sorted) is."""
+    n = np.zeros(len(runs), np.int64)
+    for h in streams if len(runs) else ():
+        x = np.unique(run_hashes(h))
+        at = np.minimum(np.searchsorted(runs, x), len(runs) - 1)
+        n[at[runs[at] == x]] += 1
+    return n
+
+
+def _counted(own: DataFrame, runs: DataFrame, by: list[str], streams) -> DataFrame:
+    """host, run, n: how many of the host's pages have each run, counted slice by slice."""
+    lists = runs.groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.max("parts").alias("parts"))
+    heads = lists.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("salt"), F.lit(0).alias("kind"), "runs", F.lit(None).cast("array<string>").alias("texts"))
+    rest = own.join(lists.select("host"), "host", "left_semi").select("host", F.col("salt").cast("long").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("array<bigint>").alias("runs"), "texts")
+
+    def count(batches):
+        key, sought, n = None, np.zeros(0, _U), np.zeros(0, np.int64)
+
+        def done():
+            some = n > 0
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * int(some.sum()), pa.string()), pa.array(sought[some].view(np.int64)), pa.array(n[some])], names=["host", "run", "n"])
+
+        for b in batches:
+            for h, s, kind, runs_, texts in zip(*(b.column(c).to_pylist() for c in (*by, "kind", "runs", "texts")), strict=True):
+                if kind == 0:
+                    if key is not None:
+                        yield done()
+                    key, sought = (h, s), np.sort(np.array(runs_, np.int64).view(_U))
+                    n = np.zeros(len(sought), np.int64)
+                else:
+                    n += pages_with([token_hashes([(0, t) for t in texts])[0]], sought)
+        if key is not None:
+            yield done()
+
+    both = heads.unionByName(rest).repartition(*by).sortWithinPartitions(*by, "kind")
+    return both.mapInArrow(count, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
+
+
 def extract(pages: DataFrame, slice_chars: int = SLICE) -> DataFrame:
     """page_id, url, text of every page, and how many of its blocks runs removed, the markup removed, and stayed (n_runs,
     n_markup, n_kept).
 
-    A host's pages are dealt into slices of about slice_chars characters by hash of page_id.  A run counts with the pages that
-    have it in each slice where two or more do; it is boilerplate if these are a fiftieth of the host's pages (half of them and
-    four, inside articles).  A host has at most fifty times its tokens a page of such runs, and they go to its slices once each.
+    A host's pages are dealt by hash into slices of about slice_chars characters, of LEAST_PAGES pages at least.  A run that is
+    on two pages of a slice is a candidate; it is then counted on every page of the host, so that what is boilerplate doesn't
+    depend on the slices.  It is boilerplate on a fifth of the host's pages (half of them, inside articles) and FEW at least.
+    Candidates that can't come to that, having two pages in too few slices, aren't counted.  A page of any length is taken whole.
     A null html counts as empty and gives an empty text; a null url is a host of its own; rows that share a page_id are a page
     each; other columns are ignored; an empty table gives an empty result.
     """
@@ -211,37 +267,45 @@ def extract(pages: DataFrame, slice_chars: int = SLICE) -> DataFrame:
             cols = [pa.array([[p for p, _ in x] for x in found], pa.list_(pa.int8())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), *cols], names=["page_id", "url", "host", "places", "texts"])
 
-    hosts = materialise(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.ceil(F.sum(F.length("html")) / slice_chars).cast("int").alias("parts")), "hosts")
+    parts = F.greatest(F.lit(1).cast("long"), F.least(F.ceil(F.sum(F.length("html")) / slice_chars), F.floor(F.count(F.lit(1)) / LEAST_PAGES))).cast("int")
+    hosts = materialise(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), parts.alias("parts")), "hosts")
     parsed = rows.mapInArrow(parse, "page_id long, url string, host string, places array<tinyint>, texts array<string>")  # in each pass: cheaper than to keep it
-    own = parsed.join(hosts, "host").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.greatest("parts", F.lit(1))))
+    own = parsed.join(hosts, "host").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
     by = ["host", "salt"]
 
-    def count(batches):
-        key, held, n = None, [], 0
-
-        def done():
-            found = HostSuffixes(held)
-            at, pages_ = found.shared()
-            stream = np.concatenate([x for h in held for x in (h, np.zeros(1, _U))])
-            runs = run_hashes(stream)[at].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.string()), pa.array(runs), pa.array(pages_)], names=["host", "run", "n"])
-
+    def streams(batches):
+        """Of each slice: its key and its pages' token hashes."""
+        key, held = None, []
         for b in batches:
             for h, s, texts in zip(*(b.column(c).to_pylist() for c in (*by, "texts")), strict=True):
-                if held and ((h, s) != key or n > slice_chars):
-                    yield done()
-                    held, n = [], 0
+                if held and (h, s) != key:
+                    yield key, held
+                    held = []
                 key = (h, s)
                 held.append(token_hashes([(0, t) for t in texts])[0])
-                n += 5 * len(held[-1])
         if held:
-            yield done()
+            yield key, held
+
+    def count(batches):
+        for key, held in streams(batches):
+            at, pages_ = HostSuffixes(held).shared()
+            stream = np.concatenate([x for h in held for x in (h, np.zeros(1, _U))])
+            runs = run_hashes(stream)[at].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.string()), pa.array(runs), pa.array(pages_)], names=["host", "run", "n"])
 
     dealt = own.select(*by, "texts").repartition(*by).sortWithinPartitions(*by)
-    runs = dealt.mapInArrow(count, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
-    marked = runs.join(hosts, "host").where((F.col("n") > 1) & (F.col("n") >= OFTEN * F.col("pages"))).withColumn("inside", (F.col("n") >= MOST * F.col("pages")) & (F.col("n") >= FEW))
+    found = dealt.mapInArrow(count, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("low"), F.count(F.lit(1)).alias("slices"))
+    # Each slice that isn't heard of has the run on one page at most.
+    least = F.greatest(F.lit(FEW), F.ceil(OFTEN * F.col("pages")))
+    able = materialise(found.join(hosts, "host").where(F.col("low") + F.col("parts") - F.col("slices") >= least).select("host", "run", "low", "slices", "pages", "parts"), "candidates")
+    half = F.greatest(F.lit(FEW), F.ceil(MOST * F.col("pages")))
+    high = F.col("low") + F.col("parts") - F.col("slices")
+    open_ = ((F.col("low") < least) & (high >= least)) | ((F.col("low") < half) & (high >= half))
+    sure = able.where(~open_).select("host", "run", F.col("low").alias("n"))
+    runs = sure.unionByName(_counted(own, able.where(open_), by, streams)) if not able.where(open_).isEmpty() else sure
+    marked = runs.join(hosts, "host").where(F.col("n") >= least).withColumn("inside", F.col("n") >= half)
     listed = materialise(marked.groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.sort_array(F.collect_list(F.when(F.col("inside"), F.col("run")))).alias("most")), "runs")
-    first = listed.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)).cast("long") - 1)).alias("salt"), "runs", "most")
+    first = listed.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("salt"), "runs", "most")
     none = F.lit(None)
     first = first.select(*by, F.lit(0).alias("kind"), none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("array<tinyint>").alias("places"), none.cast("array<string>").alias("texts"), "runs", "most")
     rest = own.select("host", F.col("salt").cast("long").alias("salt"), F.lit(1).alias("kind"), "page_id", "url", "places", "texts", none.cast("array<bigint>").alias("runs"), none.cast("array<bigint>").alias("most"))
