@@ -234,3 +234,43 @@ def test_tracks_are_written(spark, tmp_path):
     assert sorted(p.name for p in old.parent.iterdir()) == ["1.flac", "2.flac", "3.flac", "6.flac"]
     samples = lambda n: [x[2] for x in flac.frames((old.parent / n).read_bytes())]
     assert (samples("1.flac"), samples("2.flac"), samples("3.flac"), samples("6.flac")) == ([100, 100], [50, 100, 70], [40], [])
+
+
+def test_charset_candidates_scores_and_gate():
+    assert [n for n, _ in charset.CANDIDATES] == ["UTF-8", "windows-1251", "IBM866", "KOI8-R", "GBK", "GB18030", "Big5", "Shift_JIS", "EUC-KR", "windows-1252", "ISO-8859-1"]
+    scored = lambda text, name: charset.score(text, name, charset.scripts(text))
+    assert scored("TITLE x", "UTF-8") == 7 + 40 + 200
+    assert scored('TITLE "Да"', "windows-1251") == 10 + 40 + 25 + 4 * 2 + 120
+    assert scored('REM x\r\nperformer "日本語"', "Shift_JIS") == 22 + 2 * 40 + 25 + 3 * 3 + 90
+    assert scored("é\x01�", "ISO-8859-1") == 1 - 50 - 10 - 3
+    assert scored("éé", "UTF-8") == 2 - 6 + 200 - 20
+    assert scored("😀", "UTF-8") == 2 + 200  # two UTF-16 units
+    assert charset.probe('TITLE "Да"'.encode("cp1251")) == ("ISO-8859-1", "Fallback", 'TITLE "Äà"')  # two letters are too few
+    assert charset.probe('TITLE "Дан"'.encode("cp1251"))[:2] == ("windows-1251", "Heuristic")
+    for bom, name in ((b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
+        assert charset.probe(bom + "TITLE".encode(name))[0:2] == (name, "Bom")
+    assert charset.strict(b"\xff", "utf-8") is None and charset.strict(b"\x81", "cp1252") is None and charset.strict("é".encode(), "utf-8") == "é"
+
+
+def test_sheets_are_decoded_and_parsed(spark):
+    rows = [(SHEET.encode("cp1251"), None), (SHEET.replace("Band", "Группа").encode("koi8-r"), "KOI8-R"), (SHEET.encode("utf-16"), None), (b"TITLE x", None), (SHEET.encode(), "no-such"), (None, None)]
+    got = spark.createDataFrame(rows, "data binary, charset string").select(charset.load_cue("data", "charset").alias("p")).collect()
+    assert [(r.p.ok, r.p.error) for r in got] == [(True, None), (True, None), (True, None), (False, "NoTracks"), (False, "UnsupportedCharset"), (False, "EmptyInput")]
+    assert [(r.p.sheet.performer, r.p.sheet.source_charset) for r in got[:3]] == [("Band", "UTF-8"), ("Группа", "KOI8-R"), ("Band", "UTF-16LE")]
+
+
+def test_index_refuses_large_files(monkeypatch):
+    whole = album([100] * 3)
+    monkeypatch.setattr(flac, "MAX_BYTES", len(whole) - 1)
+    with pytest.raises(ValueError, match="too large"):
+        list(flac.frames(whole))
+
+
+def test_bodies_are_cut_before_tracks_are_dealt_out(spark):
+    whole = album([100] * 5)
+    files = spark.createDataFrame([("a", whole)], "file string, content binary")
+    frames = spark.createDataFrame([("a", *x) for x in flac.frames(whole)], "file string, frame_index int, start_sample long, sample_count int, byte_offset long, byte_length int")
+    ranges = spark.createDataFrame([("a", 0, 200), ("a", 250, 470)], "file string, lo long, hi long")
+    parts = writers.split(files, frames, ranges, "file")
+    at = [f[3] for f in flac.frames(whole)] + [len(whole)]
+    assert {r.lo: bytes(r.body) for r in parts.collect()} == {0: whole[at[0] : at[2]], 250: whole[at[3] : at[4]]}

@@ -31,6 +31,14 @@ def opened(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
 
+def spread(df: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """Small rows that each stand for much reading, dealt to as many tasks as a shuffle has (and no more than `most`): by the rows'
+    own size they would be put together in one."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(n, most or n)), *keys)
+
+
 def per_row(df: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str, fields: pa.Schema, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
     """What make yields for each row of df, in batches of at most so many rows and, by the binary columns, about so many bytes."""
     blobs = [f.name for f in fields if pa.types.is_binary(f.type)]
