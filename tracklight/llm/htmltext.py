@@ -107,10 +107,10 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 #: Tokens of a run; share of a block that runs must cover; share of the host's pages that makes a run boilerplate outside and
 #: inside articles, and pages that either takes at least: two or three copies of a paragraph are none.
-DEPTH, COVERED, OFTEN, MOST, FEW = 8, 0.9, 0.2, 0.5, 4
-#: Characters of markup in a slice of a host, and pages that it holds at least: a run on a fifth of the pages is then on two pages
-#: of some slice.
-SLICE, LEAST_PAGES = 4_000_000, 6
+DEPTH, COVERED, OFTEN, MOST, FEW = 8, 0.9, 0.02, 0.5, 4
+#: Characters of markup in a slice of a host, and pages that it holds at least: a run on so many of the pages is then on two
+#: pages of some slice.
+SLICE, LEAST_PAGES = 4_000_000, 51
 _U = np.uint64
 
 
@@ -251,7 +251,7 @@ def extract(pages: DataFrame, slice_chars: int = SLICE) -> DataFrame:
 
     A host's pages are dealt by hash into slices of about slice_chars characters, of LEAST_PAGES pages at least.  A run that is
     on two pages of a slice is a candidate; it is then counted on every page of the host, so that what is boilerplate doesn't
-    depend on the slices.  It is boilerplate on a fifth of the host's pages (half of them, inside articles) and FEW at least.
+    depend on the slices.  It is boilerplate on a fiftieth of the host's pages (half of them, inside articles) and FEW at least.
     Candidates that can't come to that, having two pages in too few slices, aren't counted.  A page of any length is taken whole.
     A null html counts as empty and gives an empty text; a null url is a host of its own; rows that share a page_id are a page
     each; other columns are ignored; an empty table gives an empty result.
