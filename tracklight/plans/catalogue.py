@@ -12,7 +12,7 @@ from tracklight.functions.udfs import pandas_udf
 from tracklight.operators import frames as fr
 from tracklight.operators import jobs, matching, planning, ranges, writers
 from tracklight.plans import files  # noqa: F401  (its queries register themselves)
-from tracklight.plans.inputs import FRAMES, LIBRARY, QUARTERS, TRACKS, encoded, flac_file, flac_header, frames, library, quarters, sheets, table, tracks
+from tracklight.plans.inputs import FRAMES, LIBRARY, QUARTERS, TRACKS, dealt, encoded, flac_file, flac_header, frames, library, quarters, sheets, table, total_samples, tracks
 from tracklight.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _line_time(spark: SparkSession, sf: str) -> DataFrame:
@@ -402,10 +402,10 @@ def charset_probe(spark, sf):
 @query("select p_partkey, (8000 + p_size * 1000)::int as sample_rate, (p_partkey % 8 + 1)::int as channels, (p_partkey % 29 + 4)::int as bits_per_sample, p_partkey * 1000003 as total_samples, p_name as title from part")
 def flac_metadata_roundtrip(spark, sf):
     k = F.col("p_partkey")
-    made = table(spark, sf, "part").select("p_partkey", flac_header(8000 + F.col("p_size") * 1000, k % 8 + 1, k % 29 + 4, k * 1_000_003, F.concat(F.lit("Title="), "p_name")).alias("data"))
+    made = dealt(spark, sf, "part", "p_partkey").select("p_partkey", flac_header(8000 + F.col("p_size") * 1000, k % 8 + 1, k % 29 + 4, k * 1_000_003, F.concat(F.lit("Title="), "p_name")).alias("data"))
     m = made.select("p_partkey", flac.flac_metadata("data").alias("m"))
     title = F.try_element_at(F.filter("m.comments", lambda c: F.lower(c["k"]) == "title"), F.lit(1))["v"]
-    return m.select("p_partkey", "m.info.sample_rate", "m.info.channels", "m.info.bits_per_sample", "m.info.total_samples", title.alias("title"))
+    return m.select("p_partkey", "m.info.sample_rate", "m.info.channels", "m.info.bits_per_sample", total_samples(F.col("m.info.total_samples"), F.col("m.comments")).alias("total_samples"), title.alias("title"))
 
 
 def _files(spark, sf) -> DataFrame:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklight.functions import flac
 from tracklight.functions import time as tm
 from tracklight.functions.udfs import pandas_udf
 from tracklight.operators.ranges import frame_starts
+from tracklight.sources.store import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows stand for much work each, dealt to all tasks: a file of millions of short rows is one split."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is an album and a turn a track of 1000 samples for each character."""
     length = F.length("text").cast("bigint") * 1000
@@ -100,10 +106,25 @@ def sheets(spark, sf) -> DataFrame:
 
 @pandas_udf("binary")
 def flac_header(rate, channels, bits, total, tag):
+    """A head without frames.  STREAMINFO has 36 bits for the samples: a longer stream says 0 there (unknown, by the format) and
+    has its count in a comment, where total_samples() finds it."""
     import pandas as pd
 
-    info = {"min_block": 4096, "max_block": 4096, "min_frame": 0, "max_frame": 0}
-    return pd.Series([flac.container(info | {"sample_rate": int(r), "channels": int(c), "bits_per_sample": int(b), "total_samples": int(n)}, [t]) for r, c, b, n, t in zip(rate, channels, bits, total, tag, strict=True)])
+    def head(r: int, c: int, b: int, n: int, t: str) -> bytes:
+        info = {"min_block": 4096, "max_block": 4096, "min_frame": 0, "max_frame": 0, "sample_rate": r, "channels": c, "bits_per_sample": b}
+        return flac.container(info | {"total_samples": n if n < 1 << 36 else 0}, [t] if n < 1 << 36 else [t, f"{LONG_TOTAL}={n}"])
+
+    return pd.Series([head(int(r), int(c), int(b), int(n), t) for r, c, b, n, t in zip(rate, channels, bits, total, tag, strict=True)])
+
+
+#: The comment that holds a count of samples beyond STREAMINFO's 36 bits.
+LONG_TOTAL = "TOTALSAMPLES"
+
+
+def total_samples(total: Column, comments: Column) -> Column:
+    """The samples of a stream by its STREAMINFO, or by its comment where that says 0."""
+    said = F.try_element_at(F.filter(comments, lambda c: F.upper(c["k"]) == LONG_TOTAL), F.lit(1))["v"].try_cast("bigint")
+    return F.when(total == 0, F.coalesce(said, total)).otherwise(total)
 
 
 @pandas_udf("binary")
