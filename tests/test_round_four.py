@@ -31,8 +31,18 @@ def compared(spark, sf, name, tables):
     return sorted(tuple(r) for r in got.collect()), sorted(c.execute(f"select {', '.join(cols)} from ({catalogue.ORACLES[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["flac_metadata_roundtrip"])
+@pytest.mark.parametrize("name", ["flac_metadata_roundtrip", "library_heads"])
 def test_totals_beyond_36_bits(spark, tmp_path, name):
     sf = moved(spark, tmp_path, {"part": lambda p: p.limit(40).withColumn("p_partkey", F.col("p_partkey") + F.when(F.col("p_partkey") % 2 == 0, 7_000_000).otherwise(68_700))})
     got, want = compared(spark, sf, name, ["part"])
     assert got == want and len(got) == 40
+
+
+def test_segments_of_device_names_and_unicode_spaces(spark, tmp_path):
+    """Device names get an underscore and any white space goes, in the SQL as in the query."""
+    texts = ["con", "Aux.", " lpt9 ", "COM0", "com1 x", "\u00a0nul\u3000", "\u2028", "a\u0085", "...", "", "a:b. .", None, "x\n", 'q\\"?']
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    sf = moved(spark, tmp_path, {"documents": lambda d: spark.createDataFrame(rows, d.schema)})
+    got, want = compared(spark, sf, "sanitize_segment", ["documents"])
+    assert got == want
+    assert dict(got) == dict(enumerate(["_con", "_Aux", "_lpt9", "COM0", "com1 x", "_nul", "_", "a", "_", "_", "a_b. ", None, "x_", "q___"]))
