@@ -275,7 +275,7 @@ def scan_filter(spark, sf):
 
 
 def _named(spark, sf) -> tuple[DataFrame, dict]:
-    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    c, n = dealt(spark, sf, "customer", "c_custkey"), table(spark, sf, "nation")
     rows = c.join(n, c["c_nationkey"] == n["n_nationkey"])
     v = {"track": F.col("c_custkey") % 150, "title": F.concat("c_name", F.lit(" {artist}")), "artist": F.col("n_name"), "album": F.concat(F.lit("A/"), "c_mktsegment"), "album_artist": F.col("n_name"), "year": F.lit("1999"), "genre": F.lit("Pop: live?"), "disc": F.lit(1)}
     return rows, v
@@ -401,7 +401,7 @@ def charset_ascii(spark, sf):
 
 @query()
 def charset_probe(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", charset.probe_charset(F.encode("text", "UTF-8")).alias("p")).select("doc_id", "p.*")
+    return dealt(spark, sf, "documents", "doc_id").select("doc_id", charset.probe_charset(F.encode("text", "UTF-8")).alias("p")).select("doc_id", "p.*")
 
 
 @query("select p_partkey, (8000 + p_size * 1000)::int as sample_rate, (p_partkey % 8 + 1)::int as channels, (p_partkey % 29 + 4)::int as bits_per_sample, p_partkey * 1000003 as total_samples, p_name as title from part")
