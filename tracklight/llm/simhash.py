@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from tracklight.llm.common import materialise, prepare, table, texts, word_list
 from tracklight.llm.components import components
+from tracklight.sources.store import batched
 
 _lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 FANOUT = 8
 #: Frontier entries compared at once.
 STEP = 2_000_000
-#: Bands of shingle minima and minima in each: at a similarity of 0.8 two documents share a band in 98.5 % of cases.
-BANDS, MINIMA = 8, 4
-#: Differing bits of two documents that share a band and are worth an exact check: 9.7 on average at 0.8, 16 or fewer in 99 %.
-WIDE = 16
-#: Groups of at most so many fingerprints give all their links within WIDE bits, larger ones those to their pivots.
-SMALL = 64
-_mixers = np.random.default_rng(6).integers(1 << 63, size=(3, BANDS * MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits of a shingle's hash that stand for it in sets, and the lowest of them that a posting keeps: the others name its slot.
+TOKEN_BITS, LOW_BITS = 40, 32
+#: Shingles and texts of a block of postings at most, and shingles that a slot is meant to hold.
+BLOCK, BLOCK_TEXTS, SLOT = 2_000_000, 50_000, 4_000_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -51,31 +49,26 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band of minima of the mixed hashes."""
-    flip, times, fold = _mixers[:, :, None]
-    least = np.full(BANDS * MINIMA, ~np.uint64(0))
-    for lo in range(0, len(h), 4096):
-        least = np.minimum(least, ((h[lo : lo + 4096] ^ flip) * times).min(1))
-    return ((least ^ (least >> np.uint64(29))) * fold[:, 0]).reshape(BANDS, MINIMA).sum(1)
+def tokens(h: np.ndarray) -> np.ndarray:
+    """The set of shingles as sorted numbers of TOKEN_BITS bits."""
+    return np.unique(h >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("tag", F.xxhash64("text"))
 
 
-def fingerprints(docs: DataFrame, width: int = 4, banded: bool = False) -> DataFrame:
-    """doc_id, tag (a hash of the text), fp (the fingerprint's 64 bits as a long) and bands (their keys if banded, else none)."""
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id, tag (a hash of the text), fp (the fingerprint's 64 bits as a long) and n (shingles, repeats included)."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             hashes = [shingle_hashes(t, width) for t in b.column("text").to_pylist()]
-            fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            keys = [bands(h).view(np.int64) if banded and len(h) else () for h in hashes]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tag", "fp", "bands"])
+            fp, n = np.array([majority(h) for h in hashes], np.uint64).view(np.int64), np.array([len(h) for h in hashes], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(fp), pa.array(n)], names=["doc_id", "tag", "fp", "n"])
 
-    return _tagged(docs).mapInArrow(run, "doc_id long, tag long, fp long, bands array<long>")
+    return _tagged(docs).mapInArrow(run, "doc_id long, tag long, fp long, n long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -281,76 +274,170 @@ def _blocks(group: np.ndarray, most: int):
         lo = hi
 
 
-def pivot_links(fp: np.ndarray, bound: int):
-    """Pairs of positions: each pivot with all within the bound of it.  Pivots are the first of what no earlier one reaches, so
-    that a group of copies costs a row for each and not one for each pair."""
-    left = np.arange(len(fp))
-    while len(left):
-        near = np.bitwise_count(fp ^ fp[left[0]]) <= bound
-        at = np.flatnonzero(near)
-        yield at, np.full(len(at), left[0])
-        left = left[~near[left]]
+def postings(docs: DataFrame, width: int, slot_bits: int) -> DataFrame:
+    """slot (the first bits of a shingle), block (a hash of its texts' tags), low (the last LOW_BITS bits, as bytes) and at (the place of its text
+    in the block, as bytes): the shingles of a block of texts in a slot, equal texts of a block once.  One row more for each block
+    has tags and sizes (shingles) of its texts."""
+    fields = pa.schema([("slot", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("at", pa.binary()), ("tags", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+    shift = np.int64(TOKEN_BITS - slot_bits)
+
+    def block(tags: dict[int, None], sets: list[np.ndarray]):
+        from xxhash import xxh64_intdigest
+
+        own, size = np.fromiter(tags, np.int64, len(tags)), np.array([len(x) for x in sets], np.int64)
+        name = int(np.uint64(xxh64_intdigest(own.tobytes())).view(np.int64))
+        token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(token, kind="stable")
+        token, doc = token[order], doc[order]
+        cuts = (np.flatnonzero(np.diff(token >> shift)) + 1).tolist()
+        yield {"slot": name & ((1 << slot_bits) - 1), "block": name, "low": None, "at": None, "tags": own, "sizes": size}
+        for lo, hi in zip([0, *cuts], [*cuts, len(token)], strict=True):
+            yield {"slot": int(token[lo] >> shift), "block": name, "low": token[lo:hi].astype("<u4").tobytes(), "at": doc[lo:hi].astype("<u2").tobytes(), "tags": None, "sizes": None}
+
+    def rows(batches):
+        tags, sets, held = {}, [], 0
+        for b in batches:
+            for tag, text in zip(b.column("tag").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if tag in tags or not len(x := tokens(shingle_hashes(text, width))):
+                    continue
+                tags[tag] = None
+                sets.append(x)
+                held += len(x)
+                if held >= BLOCK or len(sets) >= BLOCK_TEXTS:
+                    yield from block(tags, sets)
+                    tags, sets, held = {}, [], 0
+        if sets:
+            yield from block(tags, sets)
 
+    def run(batches):
+        return batched(rows(batches), fields, 64)
 
-def band_links(marked: DataFrame, bound: int = WIDE) -> DataFrame:
-    """u, v: fingerprints of documents that share a band of marked(fp, bands) and differ in at most `bound` bits.
+    return _tagged(docs).select("tag", "text").mapInArrow(run, "slot int, block long, low binary, at binary, tags array<long>, sizes array<long>")
 
-    A small group is searched in a Gray-order index; in a large one, whose members are much alike, all look to its pivots.
-    """
-    keyed = marked.select("fp", F.explode("bands").alias("key")).distinct()
 
-    def find(group: np.ndarray, fp: np.ndarray):
-        size = np.bincount(group)[group] if len(group) else group
-        few = size <= SMALL
-        part, own = group[few], fp[few]
-        for lo, hi in _blocks(part, 100_000):
-            a, b = GrayIndex(part[lo:hi], own[lo:hi].view(np.uint64)).links(bound)
-            yield own[lo:hi][a], own[lo:hi][b]
-        part, own = group[~few], fp[~few]
-        for lo, hi in _blocks(part, 1):
-            for a, b in pivot_links(own[lo:hi], bound):
-                yield own[lo:hi][a], own[lo:hi][b]
+def shared_shingles(posted: DataFrame, n_tasks: int) -> DataFrame:
+    """block, at, tag and size of every text, and block, at, token and df of its shingles that df > 1 texts have."""
+    names = ("block", "at", "tag", "size", "token", "df")
 
-    found = _group_links(keyed, find).where("u <> v")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    def out(block, at, **columns):
+        n = len(at)
+        yield from (pa.RecordBatch.from_arrays([pa.array(np.full(n, block) if np.ndim(block) == 0 else block), pa.array(at.astype(np.int64)), *(pa.array(columns[c]) if c in columns else pa.nulls(n, pa.int64()) for c in names[2:])], names=list(names)).slice(lo, 100_000) for lo in range(0, n, 100_000))
 
+    def found(slot: int, held: list):
+        low = np.concatenate([np.frombuffer(x, "<u4") for _, x, _ in held])
+        at = np.concatenate([np.frombuffer(x, "<u2") for _, _, x in held])
+        block = np.repeat(np.array([x for x, _, _ in held], np.int64), [len(x) // 4 for _, x, _ in held])
+        order = np.argsort(low, kind="stable")
+        low, at, block = low[order], at[order], block[order]
+        head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        df = np.diff(np.append(head, len(low)))
+        df = np.repeat(df, df)
+        many = np.flatnonzero(df > 1)
+        if len(many):
+            yield from out(block[many], at[many], token=np.int64(slot) << np.int64(LOW_BITS) | low[many].astype(np.int64), df=df[many])
 
-def similar_links(docs: DataFrame, marked: DataFrame, points: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v: fingerprints whose first documents have at least that Jaccard similarity of their sets of shingles.
+    def run(batches):
+        slot, held = None, []
+        for b in batches:
+            for s, name, low, at, tags, sizes in zip(*(b.column(c) for c in ("slot", "block", "low", "at", "tags", "sizes")), strict=True):
+                if tags.is_valid:
+                    yield from out(np.int64(name.as_py()), np.arange(len(tags.values)), tag=tags.values.to_numpy(), size=sizes.values.to_numpy())
+                    continue
+                if s.as_py() != slot and held:
+                    yield from found(slot, held)
+                    held = []
+                slot = s.as_py()
+                held.append((name.as_py(), low.as_py(), at.as_py()))
+        if held:
+            yield from found(slot, held)
 
-    Candidates are band_links; each is checked on the whole sets, which only the documents that have a candidate send.
+    return posted.repartition(n_tasks, "slot").sortWithinPartitions("slot").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def prefixes(docs: DataFrame, n_shingles: int, width: int, similarity: float) -> DataFrame:
+    """token, tag, size: of each text the shingles that others have among its prefix_size first ones, rarest first.
+
+    Texts of that similarity share one of these: prefixes of sets in one order do, and a shingle that one text alone has is in no
+    other's prefix.  The order is by df, then by the number; the shingles of df 1 come first and are counted only.
     """
-    maybe = materialise(band_links(marked), "maybe")
-    ends = maybe.select(F.col("u").alias("fp")).unionByName(maybe.select(F.col("v").alias("fp"))).distinct()
-    first = materialise(points.join(ends, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag")), "first")
+    spark = docs.sparkSession
+    slot_bits = max(TOKEN_BITS - LOW_BITS, (n_shingles // SLOT).bit_length())
+    n_tasks = min(1 << slot_bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_shingles // SLOT))
+    found = shared_shingles(postings(docs, width, slot_bits), n_tasks)
+    shared = F.when(F.col("token").isNotNull(), F.struct("df", "token"))
+    texts_ = found.groupBy("block", "at").agg(F.max("tag").alias("tag"), F.max("size").alias("size"), F.array_sort(F.collect_set(shared)).alias("shared"))
+    prefix = (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)) + 1).cast("int")
+    left = F.greatest(prefix - (F.col("size") - F.size("shared")).cast("int"), F.lit(0))
+    return texts_.where(left > 0).select("tag", "size", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("x.token", "tag", "size").distinct()
+
+
+def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(u, v) of tags with their likeness, by the whole sets(tag, set)."""
+    one, other = (sets.select(F.col("tag").alias(c), F.col("set").alias(f"{c}_set")) for c in "uv")
+    both = pairs.join(one, "u").join(other, "v").withColumn("shared", F.size(F.array_intersect("u_set", "v_set")))
+    return both.select("u", "v", (F.col("shared") / (F.size("u_set") + F.size("v_set") - F.col("shared"))).alias("likeness"))
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v: fingerprints whose links, with the given ones, connect all texts of at least that Jaccard similarity of their sets of shingles.
+
+    A group is the texts that have one shingle in their prefixes.  First all look to the least of their group.  Where a group is
+    not one component by then, every pair of two components is compared, but those that the distances to the least exclude
+    (1 - similarity is a metric).  So a group of copies costs a row for each, any other one for each pair of its components.
+    """
+    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    sized = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-9)
+    n_shingles = marked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = materialise(prefixes(docs, n_shingles, width, similarity), "prefixes")
+    groups = found.groupBy("token").agg(F.min("tag").alias("least"), F.max("tag").alias("last")).where("least <> last").select("token", "least")
+    members = materialise(found.join(groups, "token"), "members")
+    first = materialise(marked.join(members.select("tag").distinct(), "tag", "left_semi").groupBy("tag").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.min("fp").alias("fp")).select("tag", "first.doc_id", "fp"), "first")
 
     def run(batches):
         for b in batches:
-            sets = [np.unique((shingle_hashes(t, width) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.list_(pa.int32()))], names=["fp", "set"])
-
-    rows = _tagged(docs)
-    rows = rows.join(first, (rows["tag"] == first["first_tag"]) & rows["doc_id"].eqNullSafe(first["first_id"])).select("fp", "text")
-    sets = materialise(rows.mapInArrow(run, "fp long, set array<int>").dropDuplicates(["fp"]), "sets")
-    one, other = (sets.select(F.col("fp").alias(c), F.col("set").alias(f"{c}_set")) for c in "uv")
-    both = maybe.join(one, "u").join(other, "v").withColumn("shared", F.size(F.array_intersect("u_set", "v_set")))
-    return both.where(F.col("shared") >= similarity * (F.size("u_set") + F.size("v_set") - F.col("shared"))).select("u", "v")
+            sets = [tokens(shingle_hashes(t, width)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("tag"), pa.array(sets, pa.list_(pa.int64()))], names=["tag", "set"])
+
+    rows, own = _tagged(docs), first.select(F.col("tag").alias("first_tag"), F.col("doc_id").alias("first_id"))
+    rows = rows.join(own, (rows["tag"] == own["first_tag"]) & rows["doc_id"].eqNullSafe(own["first_id"]), "left_semi").select("tag", "text")
+    sets = materialise(rows.mapInArrow(run, "tag long, set array<long>").dropDuplicates(["tag"]), "sets")
+    named = lambda pairs: pairs.join(first.select(F.col("tag").alias("u"), F.col("fp").alias("a")), "u").join(first.select(F.col("tag").alias("v"), F.col("fp").alias("b")), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    alike = lambda pairs: pairs.where(F.col("likeness") >= similarity - 1e-9)
+
+    lowest = members.where("tag = least").select("token", F.col("size").alias("least_size"))
+    starred = members.join(lowest, "token").where("tag <> least").where(sized(F.col("size"), F.col("least_size"))).select(*ordered("least", "tag")).distinct()
+    stars = materialise(jaccard(starred, sets), "stars-alike")
+    near = materialise(named(alike(stars)), "near")
+    roots = materialise(components(links.unionByName(near)), "roots")
+
+    rooted = members.join(first.select("tag", "fp"), "tag").join(roots, F.col("fp") == F.col("node"), "left").select("token", "tag", "size", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    split = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "major")
+    seen = stars.select("u", "v", (1 - F.col("likeness")).alias("far"))
+    open_ = rooted.join(split, "token").where("tag <> least").select("*", *ordered("least", "tag")).join(seen, ["u", "v"], "left").select("token", "tag", "size", "root", "far", "major")
+    open_ = materialise(open_, "open")
+    minor = open_.where("root <> major").select("token", *(F.col(c).alias(f"_{c}") for c in ("tag", "size", "root", "far")))
+    apart = F.coalesce(F.abs(F.col("far") - F.col("_far")) > 1 - similarity + 1e-9, F.lit(False))
+    crossed = minor.join(open_, "token").where((F.col("root") != F.col("_root")) & ~apart).where(sized(F.col("size"), F.col("_size"))).select(*ordered("tag", "_tag")).distinct()
+    crossed = crossed.join(stars, ["u", "v"], "left_anti")
+    return near.unionByName(named(alike(jaccard(crossed, sets)))).distinct()
 
 
 def near_duplicates(docs: DataFrame, bound: int = 4, width: int = 4, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest reachable doc_id), tag (a hash of the text, as empty if
     null) and stays (whether the row's doc_id and tag are the first of its component) of every document.
 
-    Fingerprints within the bound are linked and, with a similarity, also those of documents whose sets of shingles have at least
+    Fingerprints within the bound are linked and, with a similarity, also those of any two texts whose sets of shingles have at least
     that Jaccard similarity.  Equal fingerprints are one point, so copies cost nothing beyond the first.  A null, empty or wordless
     text has the fingerprint zero, linked like any other; repeated rows come back as often as they are given; a null doc_id is no
     component_id unless the component has no other; other columns are ignored; an empty table gives an empty result.
     """
-    marked = materialise(fingerprints(docs, width, similarity is not None), "fingerprints")
+    marked = materialise(fingerprints(docs, width), "fingerprints")
     points = materialise(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")), "points")
     links = hamming_links(points.select("fp"), bound)
     if similarity is not None:
-        links = links.unionByName(similar_links(docs, marked, points, width, similarity))
+        links = materialise(links, "links")
+        links = links.unionByName(similar_links(docs, marked, links, width, similarity))
     roots = materialise(components(links), "roots")
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
