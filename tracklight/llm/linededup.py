@@ -65,12 +65,13 @@ def half_keys(normal: Column, n: Column, min_words: int) -> Column:
 
 def possible_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     """PLACE, normal (single spaces) and n (words) of the distinct lines that share a half with another; no other line can be
-    within one word of one.  They are cut from the texts of the documents that have any."""
+    within one word of one.  They are cut from the texts of the documents that have any; the texts are shuffled whatever
+    the size, so that a small run tells what a large one takes."""
     halves = first.select(*PLACE, F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
     able = materialise(halves.join(shared, "half", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("line_no").alias("at")), "able")
     picked = lambda e: F.transform("at", lambda i: F.struct(i.alias("line_no"), F.trim(F.get(e, i)).alias("normal")))
-    own = docs.join(able, ["doc_id", "tag"]).select("doc_id", "tag", F.inline(F.transform(F.array(clean_lines(F.col("text"))), picked)[0])).dropDuplicates(PLACE)
+    own = docs.join(able.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", F.inline(F.transform(F.array(clean_lines(F.col("text"))), picked)[0])).dropDuplicates(PLACE)
     possible = materialise(own.withColumn("n", n_words(F.col("normal"))), "possible")
     release(able)
     return possible
@@ -100,6 +101,17 @@ def variants(possible: DataFrame) -> DataFrame:
     return got.select(F.struct(*PLACE).alias("place"), "n", F.inline(all_))
 
 
+def repeated_variants(emitted: DataFrame) -> DataFrame:
+    """The variants under a key that others share; few are, so a narrow row for each finds them and the others go no further.
+
+    A key has the length of the line without a word, as it is for insertions and deletions; those that replacements
+    meet under are parts of it.
+    """
+    keyed = emitted.withColumn("k", F.xxhash64("h", "g", F.when(F.col("p") >= 0, F.col("n") - 1).otherwise(F.col("n"))))
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
+    return keyed.join(shared, "k", "left_semi").drop("k")
+
+
 def near_pairs(emitted: DataFrame, min_words: int) -> DataFrame:
     """place of lines and other, an earlier line that shares a deletion variant with each: the earliest under every key.
 
@@ -136,8 +148,10 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     first = materialise(keyed.groupBy("key", "more").agg(F.min(F.struct(*PLACE, "halves")).alias("f")).select("key", "more", *(f"f.{c}" for c in PLACE), "f.halves"), "first")
     possible = possible_lines(docs, first)
     emitted = materialise(variants(possible), "variants")
-    pair = materialise(near_pairs(emitted, min_words), "pairs")
+    alike = materialise(repeated_variants(emitted), "alike")
     release(emitted)
+    pair = materialise(near_pairs(alike, min_words), "pairs")
+    release(alike)
     line = possible.select(F.struct(*PLACE).alias("place"), F.split("normal", " ").alias("w"))
     both = pair.join(line, "place").join(line.select(F.col("place").alias("other"), F.col("w").alias("o")), "other")
     near = both.where(within_one(F.col("w"), F.col("o"))).select("place.*").distinct().withColumn("near", F.lit(True))
